@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from weirflow.llm import encoding_queries, truncation_queries
+from weirflow.llm import encoding_queries, token_queries, truncation_queries
 
-REGISTRIES = [encoding_queries.R, truncation_queries.R]
+REGISTRIES = [encoding_queries.R, truncation_queries.R, token_queries.R]
