@@ -164,7 +164,7 @@ def automaton():
 
 
 _TOKEN = re.compile(r"[^\x00-\x3f]+")
-_HARD = re.compile("[�\u0080-\u009f-\U000e0000-\U0010ffff]")
+_HARD = re.compile("\x1b\\$|[�\u0080-\u009f-\U000e0000-\U0010ffff]")
 _L = r"A-Za-zÀ-ÖØ-öø-ɏ"
 _SYMBOL = "¤¥¦§¨©®¯°²³´µ¶·¸¹¼¾¢£¬­ ÷×ƒ‚„†‡ˆ‰‹›•™˜˙˚˝˛ˇ˘…–—‘’“”«»€√∫Ω≈∂∏∑∆◊ﬁﬂ≤≥≠∞πªº±¿¡½ı─-╿▀-▟⌠⌡∙∩≡⁄"
 _CHECKS = [
@@ -304,6 +304,17 @@ def _once(text: str) -> tuple[str, str | None]:
     return "".join([*out, text[last:]]), pair
 
 
+#: Text of a seven-bit encoding that was read as plain characters: everything between its shift sequences.
+_SHIFTED = re.compile(r"\x1b\$[@B][!-~]*(?:\x1b[$(][@BIJ][!-~]*)*(?:\x1b\([BJ])?")
+
+
+def _shifted(m: re.Match) -> str:
+    try:
+        return m.group().encode("ascii").decode("iso2022_jp")
+    except UnicodeDecodeError:
+        return m.group()
+
+
 #: Anomalies from which a token that no pair explains counts as garbled beyond repair.
 LOST = 1.6
 
@@ -312,10 +323,12 @@ def examine(text: str | None) -> tuple[bool, str | None, str | None]:
     """(garbled, restored text, pairs): pairs in the order in which they were undone, '?' where text stays lost."""
     if text is None:
         return False, None, None
-    if text.isascii():
-        return False, text, None
     pairs: list[str] = []
-    now = text
+    now = _SHIFTED.sub(_shifted, text)
+    if now != text:
+        pairs.append("iso2022_jp>ascii")
+    if now.isascii():
+        return bool(pairs), now, "+".join(pairs) or None
     for _ in range(4):  # text can have been misread more than once, and in parts in different ways
         now, pair = _once(now)
         if pair is None:
@@ -342,7 +355,7 @@ def examined(text: Column) -> Column:
 
 
 #: A text without any of these can't be garbled: the JVM keeps it from Python.
-NOT_ASCII = r"[^\x00-\x7f]"
+NOT_ASCII = r"[^\x00-\x7f]|\x1b\$"
 
 
 def garbled_rows(df: DataFrame, key: str, field: str) -> DataFrame:
