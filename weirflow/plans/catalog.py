@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from weirflow.plans import budget, detect, diffs, parse_errors, views
+from weirflow.plans import budget, detect, diffs, files, parse_errors, views
 
-REGISTRIES = [parse_errors.R, detect.R, views.R, budget.R, diffs.R]
+REGISTRIES = [parse_errors.R, detect.R, views.R, budget.R, diffs.R, files.R]
