@@ -96,7 +96,7 @@ def watched(df: DataFrame, key: str, text: str, values: DataFrame, value: str, l
     """key, fingerprint, n: occurrences (not overlapping) of watched values in texts. The values go to the workers in blocks of a fixed size, each as one multi-pattern automaton; texts are never joined with values."""
     distinct = values.select(F.col(value).alias("v")).filter(F.char_length("v") >= least).distinct()
     total = distinct.count()
-    parts = max(1, -(-total // (block * 3 // 4)))
+    parts = -(-total * 4 // (block * 3)) or 1
     out = None
     for b in range(parts):
         mine = [r.v for r in (distinct.filter(F.pmod(F.xxhash64("v"), F.lit(parts)) == b) if parts > 1 else distinct).collect()]  # at most about block values

@@ -58,10 +58,11 @@ def valid(kind: Column, value: Column) -> Column:
     """Whether a cell is empty or a value of its column's type (string int decimal date timestamp boolean; other types are never valid)."""
     v = _blankless(value)
     date = F.try_to_date(F.substring(v, 1, 10), "yyyy-MM-dd").isNotNull()
+    number = F.regexp_replace(v, r"\A([+-]?)0+(?=[0-9])", "$1").try_cast("decimal(38,0)")  # null beyond 38 digits
     day = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}"
     return (
         F.when((v == "") | (kind == "string"), True)
-        .when(kind == "int", v.rlike(r"\A[+-]?[0-9]+\z") & v.try_cast("decimal(38,0)").between(-(2**31), 2**31 - 1))
+        .when(kind == "int", v.rlike(r"\A[+-]?[0-9]+\z") & F.coalesce(number.between(-(2**31), 2**31 - 1), F.lit(False)))
         .when(kind == "decimal", v.rlike(r"\A[+-]?[0-9]+(?:\.[0-9]+)?\z"))
         .when(kind == "date", v.rlike(day + r"\z") & date)
         .when(kind == "timestamp", v.rlike(day + r"[T ](?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]Z?\z") & date)
