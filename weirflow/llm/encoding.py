@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
 from functools import cache, lru_cache
 from itertools import product
 
@@ -187,6 +186,7 @@ _CHECKS = [
 ]
 
 
+_HALF_WIDTH = re.compile("[ｦ-ﾟ]+")
 #: Symbols that a garbled word may hold without being an anomaly by themselves.
 _LOOSE = re.compile(f"[{_SYMBOL}]")
 
@@ -265,43 +265,45 @@ def _special(token: str, text: str, true: str, wrong: str) -> float:
 _TRUST = {"utf-8": 2.0}
 
 
-def _once(text: str) -> tuple[str, str | None]:
-    tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text) if not m.group().isascii()]
-    ends = [b for _, b, _ in tokens]
-    votes: dict[int, set[int]] = {}
-    for at, (_, pairs) in automaton().iter(text):
-        i = bisect_right(ends, at)
-        for k in pairs:
-            votes.setdefault(k, set()).add(i)
-    best: tuple[float, list, str | None] = (0.0, [], None)
-    for k in sorted(votes):
-        true, wrong = PAIRS[k]
-        gain, changes = 0.0, []
-        for i in sorted(votes[k]):
-            if i >= len(tokens):
-                continue
-            a, b, t = tokens[i]
-            before = anomalies(t)
-            if before == 0 and wrong != "cp932" and not _LOOSE.search(t):
+@lru_cache(1 << 16)
+def _readings(token: str) -> tuple[float, tuple[tuple[int, float, str], ...]]:
+    """Anomalies of a token, and its readings that are no worse: (pair, gain, text). Words recur, so most tokens are judged once per worker."""
+    before = anomalies(token)
+    loose = _LOOSE.search(token) is not None
+    out = []
+    if before or loose or _HALF_WIDTH.fullmatch(token):
+        votes = {k for _, (_, pairs) in automaton().iter(token) for k in pairs}
+        for k in sorted(votes):
+            true, wrong = PAIRS[k]
+            if before == 0 and wrong != "cp932" and not loose:
                 continue
-            x = read_back(t, true, wrong)
+            x = read_back(token, true, wrong)
             if x is None:
                 continue
-            g = before + _special(t, x, true, wrong) - anomalies(x)
-            if g > 0 or g == 0 and _LOOSE.search(t) and not _LOOSE.search(x):
-                gain += g
-                changes.append((a, b, x))
-        gain *= _TRUST.get(true, 1.0)
-        if gain > best[0] + 1e-9:
-            best = (gain, changes, f"{true}>{wrong}")
-    gain, changes, pair = best
-    if gain < 0.6:
+            gain = before + _special(token, x, true, wrong) - anomalies(x)
+            if gain > 0 or gain == 0 and loose and not _LOOSE.search(x):
+                out.append((k, gain, x))
+    return before, tuple(out)
+
+
+def _once(text: str) -> tuple[str, str | None]:
+    tokens = [(m.start(), m.end(), _readings(m.group())[1]) for m in _TOKEN.finditer(text) if not m.group().isascii()]
+    gains: dict[int, float] = {}
+    for _, _, readings in tokens:
+        for k, gain, _ in readings:
+            gains[k] = gains.get(k, 0.0) + gain * _TRUST.get(PAIRS[k][0], 1.0)
+    if not gains:
+        return text, None
+    best = max(sorted(gains), key=lambda k: gains[k])
+    if gains[best] < 0.6:
         return text, None
     out, last = [], 0
-    for a, b, x in changes:
-        out += [text[last:a], x]
-        last = b
-    return "".join([*out, text[last:]]), pair
+    for a, b, readings in tokens:
+        for k, _, x in readings:
+            if k == best:
+                out += [text[last:a], x]
+                last = b
+    return "".join([*out, text[last:]]), ">".join(PAIRS[best])
 
 
 #: Text of a seven-bit encoding that was read as plain characters: everything between its shift sequences.
@@ -334,7 +336,7 @@ def examine(text: str | None) -> tuple[bool, str | None, str | None]:
         if pair is None:
             break
         pairs.append(pair)
-    if _HARD.search(now) or any(anomalies(t) >= LOST for t in _TOKEN.findall(now)):
+    if _HARD.search(now) or any(_readings(t)[0] >= LOST for t in _TOKEN.findall(now) if not t.isascii()):
         pairs.append("?")
     return bool(pairs), now, "+".join(pairs) or None
 
