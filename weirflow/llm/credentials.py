@@ -45,7 +45,7 @@ _FORMS = [
     ("annotated", re.compile(rf"@\w+\(\s*{_QUOTED}\s*\)\s+(?:[\w<>]+\s+)+{_KEY}\b", re.I)),
     ("remark", re.compile(rf"{_QUOTED}\s*[;,)]*\s*(?://|#|/\*|--)\s*{_KEY}\b", re.I)),
 ]
-_URL = re.compile(r"[a-z][a-z0-9+.-]*://(?P<user>[^\s:/@\"'`<>]*):(?P<bare>[^\s/\"'`<>@][^\s\"'`<>]*?)@(?=[\w.\[-])", re.I)
+_URL = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,30}://(?P<user>[^\s:/@\"'`<>]{0,200}):(?P<bare>[^\s/\"'`<>@][^\s\"'`<>]{0,500}?)@(?=[\w.\[-])", re.I)
 _QUERY = re.compile(rf"[?&;]{_KEY}=(?P<bare>[^\s&\"'`<>#)]+(?:#[\w!?]+)?)", re.I)
 _HEADER = re.compile(r"\b(?:Basic|Bearer|Token|ApiKey|Digest)\s+(?P<bare>[^\s\"'`<>,;]{6,})")
 _USER = re.compile(r"(?:^|\s)(?:-u|--user)[\s=]+[\"']?[\w.@-]+:(?P<bare>[^\s\"']+)")
@@ -68,8 +68,8 @@ _HAS_VALUE = re.compile(r"^[ \t]*value:", re.M)
 _HAS_FOLD = re.compile(r"[:=][ \t]*(?:[|>][+-]?|\\)[ \t]*\r?$", re.M)
 
 #: A line can hold a secret only with letters and digits in one run of characters, or with a long run; all else is left out at once.
-_MIXED = re.compile(r"[A-Za-z][^\s\"'`<>(),;{}\[\]]*[0-9]|[0-9][^\s\"'`<>(),;{}\[\]]*[A-Za-z]|[A-Za-z0-9+/_-]{20}")
-_GATE = re.compile(rf"{_NAME}|key|BEGIN|://|AKIA|ASIA|AIza|sk-|gh[pousr]_|xox|eyJ|Basic |Bearer |base64|-u |mysql|[A-Za-z0-9+/_-]{{24}}", re.I)
+_RUN = re.compile(r"[^\s\"'`<>(),;{}\[\]]{6,}")
+_DIGIT, _ALPHA = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 _PLACEHOLDER = re.compile(
     r"(?i)your[-_ ]|<[^>]*>|\$\{|\$\(|\{\{|%\(|%s|«|»|redacted|placeholder|example|changeme|change[-_ ]me|dummy|sample|xxxx|\*{3,}|•{3,}|\.{3}|…|insert|replace|todo|none$|null$|undefined$|true$|false$|n/a$|not[-_ ]?set|fake|foobar|"
@@ -171,7 +171,14 @@ def _value(m: re.Match) -> tuple[str, int, int, bool]:
     return "", 0, 0, False
 
 
-def _line_spans(line: str) -> list[tuple[int, int, str]]:
+#: What a line must hold for a form to apply, so that most patterns are not tried at all.
+_NEEDS = {"pair": ("\",", "',", "`,", "\" ,"), "option": ("--", " -"), "element": ("</",), "attribute": ("value",), "said": (" is ", " was ", " = ", " : "), "comment": ("#", "//", "/*", "<!--", "--", ";", "*"), "annotated": ("@",), "remark": ("//", "#", "/*", "--")}
+_NAME_HINTS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "pat")
+_OTHER_HINTS = ("://", "akia", "asia", "aida", "aroa", "aiza", "sk-", "sk_", "rk_", "pk_", "vk_", "whsec_", "tok_", "gh", "xox", "eyj", "basic ", "digest ", "base64", "-u ", "--user", "mysql", "glpat", "npm_", "hf_", "sg.", "ya29")
+_LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{20}")
+
+
+def _line_spans(line: str, named: bool) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     for m in _ISSUED.finditer(line):
         v = m.group("bare")
@@ -186,7 +193,9 @@ def _line_spans(line: str) -> list[tuple[int, int, str]]:
             v, s, e, quoted = _value(m)
             if kind == "header" and (encoded_credential(v) or secret_value(v, "bearer", True, line)) or kind != "header" and secret_value(v, m.groupdict().get("name") or "pass", True, line):
                 out.append((s, e, kind))
-    for form, rx in _FORMS:
+    for form, rx in _FORMS if named else ():
+        if form in _NEEDS and not any(n in line for n in _NEEDS[form]):
+            continue
         at = 0
         while m := rx.search(line, at):
             v, s, e, quoted = _value(m)
@@ -210,7 +219,7 @@ def _line_spans(line: str) -> list[tuple[int, int, str]]:
 
 def spans(text: str | None) -> list[tuple[int, int, str]]:
     """Places of secret values in a text: (start, end, kind), ordered, not overlapping; of one value in several pieces the later ones have the kind 'more'."""
-    if not text or not _GATE.search(text):
+    if not text:
         return []
     out: list[tuple[int, int, str]] = []
     for m in _BLOCK.finditer(text):
@@ -230,11 +239,21 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
             v, s, e, quoted = _value(m)
             if secret_value(v, m.group("name"), True, v) or encoded_credential(v):
                 out.append((s, e, "key"))
-    start = 0
-    for line in text.split("\n"):
-        if len(line) >= 8 and _MIXED.search(line) and _GATE.search(line):
-            out += [(start + s, start + e, k) for s, e, k in _line_spans(line)]
-        start += len(line) + 1
+    end = -1
+    for m in _RUN.finditer(text):
+        if m.start() < end:
+            continue  # a line that was looked at
+        run = m.group()
+        if not (len(run) >= 20 or _DIGIT.search(run) and _ALPHA.search(run)):
+            continue
+        start = text.rfind("\n", 0, m.start()) + 1
+        end = text.find("\n", m.end())
+        end = len(text) if end < 0 else end
+        line = text[start:end]
+        low = line.lower()
+        named = any(h in low for h in _NAME_HINTS)
+        if len(line) >= 8 and (named or any(h in low for h in _OTHER_HINTS) or _LONG_RUN.search(line)):
+            out += [(start + s, start + e, k) for s, e, k in _line_spans(line, named)]
     out.sort(key=lambda x: (x[0], -x[1]))
     merged: list[tuple[int, int, str]] = []
     for s, e, k in out:
