@@ -87,7 +87,7 @@ def _word(word: str) -> str:
             s = _script(c)
             if s == "latin" and c not in _CYRILLIC_OF and c not in OTHER:
                 bound["latin"] += 1
-            elif s in bound and c not in LATIN_OF:
+            elif s != "latin" and s in bound and c not in LATIN_OF:
                 bound[s] += 1
         likely = max(bound, key=lambda s: (bound[s], s == "latin", sum(_script(c) == s for c in letters)))
         if bound["cyrillic"] == bound["latin"] == bound["greek"] == 0:
