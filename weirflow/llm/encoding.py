@@ -182,6 +182,7 @@ _CHECKS = [
     (re.compile("(?<![ｦ-ﾟ])[ｦ-ﾟ](?![ｦ-ﾟ])"), 0.8),
     (re.compile("[ª-ÿŒœŠšŽžŸƒ‚-›€™]{3,}"), 1.0),
     (re.compile("[ÃÂĂĹ├┬√ГВРС][ -¿­€-ↄ‚-›ѓ-џЂ-ЏА-яŒœŠšŽžŸ─-▟]"), 0.8),
+    (re.compile("[ĂĹ](?=[łąşĽľżšśťžźŠŚŤŽŹŁĄŞŻ])"), 1.2),
     (re.compile("[縺繧繝郢ﾃﾂﾐﾑ][\u0080-￿]"), 0.6),
 ]
 
