@@ -25,6 +25,8 @@ DETECTORS = (
     ("jwt", "access-token", "medium", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{6,}\b"),
     ("database-url", "database-url", "high", r"\b(?:postgres|postgresql|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s:@/]+:[^\s:@/]+@[^\s/]+"),
 )
+#: A plain sign of each format: what no text without it can hold, so that the pattern itself is tried on few texts.
+SIGNS = ("PRIVATE KEY-----", "AKIA", "sk-", "sk-ant-", "AIza", "gh[pousr]_", "github_pat_", "xox[baprs]-", "_live_", "eyJ", "://")
 SEVERITIES = ("critical", "high", "medium", "low")
 KEY_HINT = r"(?i)(secret|token|key|passwd|password|pwd|api[_-]?key|auth|credential)"
 LONG_TOKEN = r"[A-Za-z0-9+/=_-]{24,}"
@@ -42,9 +44,8 @@ CAP, TOKENS_A_LINE = 1000, 50
 
 def format_findings(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, detector, category, severity, line, preview: values in a known format. No pattern crosses a line, so lines are split first and those without a sign are dropped at once."""
-    gate = "|".join(f"(?:{java(p)})" for *_, p in DETECTORS)
-    hits = line_rows(df, key, text).filter(F.col("line").rlike(gate))
-    each = F.array(*(F.struct(F.lit(d).alias("detector"), F.lit(c).alias("category"), F.lit(s).alias("severity"), F.regexp_extract_all("line", F.lit(java(p)), F.lit(0)).alias("found")) for d, c, s, p in DETECTORS))
+    hits = line_rows(df.filter(F.col(text).rlike("|".join(SIGNS))), key, text).filter(F.col("line").rlike("|".join(SIGNS)))
+    each = F.array(*(F.struct(F.lit(d).alias("detector"), F.lit(c).alias("category"), F.lit(s).alias("severity"), F.when(F.col("line").rlike(sign), F.regexp_extract_all("line", F.lit(java(p)), F.lit(0))).alias("found")) for (d, c, s, p), sign in zip(DETECTORS, SIGNS, strict=True)))
     x = hits.select(key, F.col("n").alias("line"), F.explode(each).alias("d")).select(key, "line", "d.*").select(key, "detector", "category", "severity", "line", F.posexplode("found").alias("i", "value"))
     per_line = x.groupBy(key, "detector", "line").agg(F.count("*").alias("c"))
     over = per_line.groupBy(key, "detector").agg(F.sum("c").alias("all")).filter(F.col("all") > CAP)  # the cap needs an order only where it is exceeded

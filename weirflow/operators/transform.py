@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weirflow.functions.text import java
-from weirflow.operators.detect import DETECTORS
+from weirflow.operators.detect import DETECTORS, SIGNS
 
 PEM = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[^-]*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"
 # Shapes of personal data in the order in which they are replaced, with their tokens.
@@ -30,9 +30,10 @@ SAFE_NAME = r"(?i)(^|_)(MODEL|PORT|DEBUG|LOG_LEVEL|NODE_ENV|APP_ENV|ENVIRONMENT|
 
 def redacted(text: Column) -> Column:
     """text with every value in a known format replaced by a mark of its category. The earlier pattern of the list has a value that several match."""
+    out = text
     for _, category, _, p in DETECTORS:
-        text = F.regexp_replace(text, java(p), f"«REDACTED:{category}»")
-    return text
+        out = F.regexp_replace(out, java(p), f"«REDACTED:{category}»")
+    return F.when(text.rlike("|".join(SIGNS)), out).otherwise(text)
 
 
 def key_material_masked(text: Column) -> Column:
