@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weirflow.operators import detect as D
 from weirflow.plans.registry import Registry
+from weirflow.session import widen
 from weirflow.sources.tables import table
 
 R = Registry()
@@ -26,7 +27,7 @@ _FORMATS = "WITH " + _FILE_LINES + ", hits AS (" + " UNION ALL ".join(f"SELECT f
 
 @R.add("detect_formats", _FORMATS + f" SELECT file_id, detector, category, severity, line, {_MASK} AS preview FROM hits")
 def detect_formats(spark, sf_dir):
-    return D.format_findings(table(spark, sf_dir, "scanned_files"), "file_id", "content")
+    return D.format_findings(widen(table(spark, sf_dir, "scanned_files").select("file_id", "content")), "file_id", "content")
 
 
 @R.add("detect_risk_summary", _FORMATS + " SELECT s.severity, count(h.file_id) AS findings FROM (SELECT unnest(['critical', 'high', 'medium', 'low']) AS severity) s LEFT JOIN hits h USING (severity) GROUP BY 1")
