@@ -82,3 +82,14 @@ def test_cut_texts(spark):
     assert sum(got[i].cut for i, _ in limited) >= 0.95 * len(limited)
     assert 5000 not in got and 5001 not in got and 5002 not in got and not got[5003].cut
     assert C.judged(df.limit(0)).count() == 0
+
+
+def test_cut_lines_in_a_large_corpus(spark):
+    r = random.Random(6)
+    names = "ledger window gateway planner roster column".split()
+    body = lambda: "\n".join(f"src/{r.choice(names)}.py changed {r.randint(1, 9999)} lines" for _ in range(5))
+    same = body()
+    whole = [(i, body(), "logs") for i in range(300)] + [(300 + i, body() + "\nall done here" + "\n" * (i % 2), "logs") for i in range(8)] + [(400 + i, "\u3000", "logs") for i in range(3)]
+    cut = [(1000 + i, body() + "\nsrc/", "logs") for i in range(7)] + [(1010 + i, same + "\nsr", "logs") for i in range(9)] + [(1020 + i, body() + '\n{"ty', "logs") for i in range(6)]
+    df = spark.createDataFrame(whole + cut, "doc_id long, text string, source string")
+    assert {x.doc_id for x in C.judged(df).collect() if x.cut} == {i for i, _, _ in cut}

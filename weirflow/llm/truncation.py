@@ -2,7 +2,8 @@
 
 The corpus says what a complete end looks like. Its words form a trie, held as a table of nodes (prefix, is it a word, does it go on), and a
 final token that is no word but the proper prefix of words was cut. Its lines, and their shapes (words and numbers as classes), show
-which lines are complete: a last line whose text or shape never closes a line elsewhere, and that ends in no sentence mark, was cut. Lengths at which texts of a source pile up are that
+which lines are complete: a last line whose text or shape never closes a line elsewhere, and that ends in no sentence mark, was cut. How a line ends is weighed in shares (line breaks
+after it, ends of texts, lines that go on after it), so that a larger corpus of the same kind gives the same verdict; half words and broken records count in any case. Lengths at which texts of a source pile up are that
 source's limits. All counts cover all documents; words, lines and shapes are combined within each partition before they are shuffled, and only those that a last line asks for are kept.
 
 Defined cases: null, empty and blank texts are never cut. Texts that end in a line break are complete unless a mark of the cut stands there.
@@ -14,12 +15,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct texts in which a line or a shape must close a line to count as complete.
+from weirflow.session import cut
+
+#: Distinct texts in which a shape must close a line to count as complete.
 KNOWN = 3
+#: A last line is complete where a line break follows it in at least this share of the distinct texts in which it ends a line or the text, unless lines go on after it this many times as often.
+CLOSED_SHARE, GOES_ON = 0.1, 20
 #: A source's limit: at least so many distinct texts of one length, and so many times the mean of the lengths around it.
 PILE, PILE_RATIO, AROUND = 8, 8.0, 20
 
-_BLANK = r"(?<![\s\x{feff}\x{200b}])[\s\x{feff}\x{200b}]+\z"
+_BLANK = r"(?<![\s\p{Z}\x{feff}\x{200b}])[\s\p{Z}\x{feff}\x{200b}]+\z"
 _MARK = r"(?i)(?:[\[(<](?:[^\[\]()<>\n]{0,40}\b)?(?:truncated|cut off|cut|snip|snipped|gekürzt|tronqué|truncado|省略|以下略)\b?[^\[\]()<>\n]{0,40}[\])>])\s*\z"
 _DOTS = r"(?:…|\.\.\.)\z"
 _SENTENCE = r"(?:[.!?。！？;:」』）)\]}|`>\"”»’'*])\z"
@@ -85,6 +90,19 @@ def closing_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted.distinct(), "value", "left_semi").groupBy("value").agg(F.approx_count_distinct("digest", 0.02).alias("closed_in"))
 
 
+def going_on(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """How often lines go on after the wanted ones (column line): line, goes_on (distinct texts with a longer line that begins with it).
+
+    Only prefixes of a length that a wanted line with the same first characters has are made."""
+    wanted = wanted.distinct()
+    lead = lambda n: F.substring("text_line", 1, n)
+    lengths = wanted.groupBy(F.substring("line", 1, 3).alias("lead")).agg(F.collect_set(F.length("line")).alias("ats"))
+    lines = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("digest"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), clean_line))).alias("text_line")).filter("text_line != ''")
+    led = lines.withColumn("lead", F.explode(F.array_distinct(F.array(lead(1), lead(2), lead(3))))).join(lengths, "lead")
+    begun = led.select("digest", "text_line", F.explode(F.filter("ats", lambda n: n < F.length("text_line"))).alias("at")).select("digest", F.expr("left(text_line, at)").alias("line"))
+    return begun.join(wanted, "line", "left_semi").groupBy("line").agg(F.approx_count_distinct("digest", 0.02).alias("goes_on"))
+
+
 def trie_nodes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Nodes of the vocabulary's trie that the wanted tokens reach: token, word_in (documents that have it as a word), below (distinct longer words).
 
@@ -98,11 +116,14 @@ def trie_nodes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame) -> DataFrame:
     """Every text that isn't blank with the evidence: doc_id, source, cut, why."""
-    t = tails(docs)
+    t = cut(tails(docs))  # read by seven branches
     ask = t.filter(~F.col("sentence") | F.col("dots") | F.col("mark"))
-    seen = closing_lines(docs, ask.select(F.explode(F.array(F.concat(F.lit("l"), "line"), F.concat(F.lit("s"), "shape"))).alias("value")))
+    seen = cut(closing_lines(docs, ask.select(F.explode(F.array(F.concat(F.lit("l"), "line"), F.concat(F.lit("s"), "shape"))).alias("value"))))
     trie = trie_nodes(docs, ask.filter(F.col("token") != "").select("token"))
-    final = ask.groupBy(F.col("line").alias("final_line")).agg(F.approx_count_distinct("digest", 0.02).alias("final_texts"), F.count("*").alias("final_docs"))
+    final = ask.filter(~F.col("closed")).groupBy("line").agg(F.approx_count_distinct("digest", 0.02).alias("ends"))
+    closes = seen.filter(F.col("value").startswith("l")).select(F.expr("substr(value, 2)").alias("line"), "closed_in")
+    weighed = final.join(closes, "line", "left").filter((F.col("ends") >= KNOWN) | F.col("closed_in").isNotNull()).select("line")
+    ending = final.join(going_on(docs, weighed), "line", "left").select(F.col("line").alias("final_line"), "ends", "goes_on")
     lim = limits(t)
     at_chars = lim.filter("unit = 'chars'").select(F.col("source").alias("cs"), F.col("at").alias("ca"))
     at_octets = lim.filter("unit = 'octets'").select(F.col("source").alias("os"), F.explode(F.array("at", F.col("at") - 1, F.col("at") - 2)).alias("oa")).distinct()
@@ -112,20 +133,23 @@ def judged(docs: DataFrame) -> DataFrame:
         .join(seen.select(F.col("value").alias("lk"), F.col("closed_in").alias("line_in")), "lk", "left")
         .join(seen.select(F.col("value").alias("sk"), F.col("closed_in").alias("shape_in")), "sk", "left")
         .join(trie, "token", "left")
-        .join(final, F.col("line") == F.col("final_line"), "left")
+        .join(ending, F.col("line") == F.col("final_line"), "left")
     )
     x = x.join(at_chars, F.col("source").eqNullSafe(F.col("cs")) & (F.col("chars") == F.col("ca")), "left").join(at_octets, F.col("source").eqNullSafe(F.col("os")) & (F.col("octets") == F.col("oa")), "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     half_word = (F.col("token") != "") & (z("word_in") == 0) & (z("below") > 0)
-    line_known = (z("line_in") >= KNOWN) | (z("final_texts") >= 5) | (z("final_docs") >= 8)
+    closing = z("line_in") - F.col("closed").cast("int")  # in other texts
+    closed = (closing > 0) & (closing >= CLOSED_SHARE * (closing + z("ends"))) & (z("goes_on") < GOES_ON * closing)
+    line_known = closed | (z("ends") >= KNOWN) & (z("goes_on") < z("ends"))
     at_limit = F.col("ca").isNotNull() | F.col("oa").isNotNull()
     plain_end = ~F.col("sentence") & ~F.col("closed") & ~F.col("dots")
     why = (
         F.when(F.col("mark"), "marked")
-        .when(F.col("dots") & ~line_known, "dots")
-        .when(F.col("dots") | line_known & ~at_limit, F.lit(None))
+        .when(F.col("dots") & ~closed, "dots")
+        .when(F.col("dots"), F.lit(None))
         .when(F.col("json_cut") & ~F.col("closed"), "record")
         .when(plain_end & half_word, "half_word")
+        .when(line_known & ~at_limit, F.lit(None))
         .when(at_limit & (plain_end | F.col("open_point")) & (z("shape_in") < KNOWN), "limit")
         .when(plain_end & (z("shape_in") < KNOWN), "line")
         .when(F.col("fence_open") & ~F.col("closed"), "fence")
