@@ -41,6 +41,17 @@ def test_no_cases():
         assert C.places(line) == [], line
 
 
+def test_unnamed_values():
+    for v in (value(40), value(24), "".join(R.choice("0123456789abcdef") for _ in range(45)) + "aa1"):
+        for line in (f'connect("{v}")', f"DSN_SIG = '{v}'", f"open {v} now", f'["{v}",', f'"{v}",'):
+            assert C.places(f"x\n{line}\ny") == [2] and v not in C.redact(line), line
+    blob = "".join(f'  "{value(76)}",\n' for _ in range(5))
+    assert C.places(f"X = [\n{blob}]") == []
+    h = "".join(R.choice("0123456789abcdef") for _ in range(40))
+    for line in (f'pin("{h}")', 'find("getUserByEmailAddress2ForWorkspaceV3")', "packages/worker-155f/src/lib/cacheEntry2Index.go", 'use("0b9cf1a2-5d3e-4f60-8a7b-91c2d3e4f506")', 'f("the quick brown fox jumps over 13 lazy dogs")', f"sha512-{value(60)}"):
+        assert C.places(line) == [], line
+
+
 def test_blocks_pieces_and_encodings():
     body = "\n".join(value(64) for _ in range(4))
     block = f"a\n-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----\nb"

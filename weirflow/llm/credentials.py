@@ -25,6 +25,11 @@ MARK = "«REDACTED:{}»"
 #: Bits per character below which a value of an alphabet is no random string, for 20 characters; less for shorter ones (see threshold).
 BITS = {"hex": 3.0, "base64": 3.6, "printable": 3.3}
 
+#: An unnamed value in both cases is words, not a random string, where small letters in runs make up this share and fewer of its characters than this begin a word or a number; one in a single case, where so few change between letters and digits.
+WORDS, MIXED_CASE, ONE_CASE = 0.4, 0.35, 0.2
+#: Hexadecimal digits of usual hashes.
+_HASH_LENGTHS = (32, 40, 56, 64, 96, 128)
+
 _NAME = (
     r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[-_. ]?key|apikey|auth(?:[-_. ]?(?:token|key))?|authtoken|bearer|"
     r"(?:access|signing|private|secret|account|storage|master|encryption|license|deploy|service|ledger|client|admin|root|webhook|session|shared|api)[-_. ]?(?:key|secret|pass|token)|pat)"
@@ -58,6 +63,9 @@ _ISSUED = re.compile(
 )
 _BLOCK = re.compile(r"-----BEGIN (?P<what>[A-Z0-9 ]*?)PRIVATE KEY(?: BLOCK)?-----(?P<body>[\s\S]*?)(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|(?=-----BEGIN )|\Z)")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/=_-])(?:[A-Za-z0-9+/_-]{16,}={0,2})(?![A-Za-z0-9+/=_-])")
+_STRING = re.compile(_QUOTED)
+#: A line of nothing but a literal: beside another one it is part of a block of data.
+_LITERAL_LINE = re.compile(r"[\s\[({]*(?:[\"'`][A-Za-z0-9+/=_-]{30,}[\"'`]|[A-Za-z0-9+/=_-]{30,})[\s,;+\\.)\]}]*")
 _PIECES = re.compile(r"(?P<q>[\"'`])(?P<first>[^\"'`\n]{4,200})(?P=q)(?P<rest>(?:[ \t]*(?:\+|\\|\.|&|\|\|)?[ \t]*\\?\n[ \t]*(?:\+|\.|&|\|\|)?[ \t]*[\"'`][^\"'`\n]{1,}[\"'`])+)(?P<tail>[^\n]*)")
 _CONTINUED = re.compile(r"[\"'`][ \t]*(?:\+|\\|\.|&|\|\|)?[ \t]*\\?\n[ \t]*(?:\+|\.|&|\|\|)?[ \t]*[\"'`]")
 _INNER = re.compile(r"[\"'`]([^\"'`\n]+)[\"'`]")
@@ -153,6 +161,18 @@ def secret_value(value: str, name: str | None, quoted: bool, context: str) -> bo
     return random_like(v) or password_like(v) or _phrase(v)
 
 
+def unnamed_secret(value: str, quoted: bool, context: str) -> bool:
+    """Whether a value that nothing names is a secret by its entropy alone: no hash of a usual length, no identifier or path."""
+    if re.search(r"\s", value) or not random_like(value) or alphabet(value) == "hex" and len(value) in _HASH_LENGTHS:
+        return False
+    changes = len(re.findall(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])|[a-z](?=[A-Z])", value)) / (len(value) - 1)
+    if re.search(r"[a-z]", value) and re.search(r"[A-Z]", value):
+        words = changes < MIXED_CASE and sum(map(len, re.findall(r"[A-Za-z][a-z]{3,}", value))) >= WORDS * len(value)
+    else:
+        words = changes < ONE_CASE
+    return not words and secret_value(value, None, quoted, context)
+
+
 def _phrase(v: str) -> bool:
     """Long values without digits that still are random (letters in both cases, or with signs)."""
     return len(v) >= 20 and " " not in v and alphabet(v) == "base64" and bool(re.search(r"[a-z]", v)) and bool(re.search(r"[A-Z]", v)) and entropy(v) >= threshold(v) and not re.fullmatch(r"(?:[A-Z]?[a-z]+)+|[A-Za-z]+(?:[-_/][A-Za-z]+)+", v)
@@ -175,10 +195,10 @@ def _value(m: re.Match) -> tuple[str, int, int, bool]:
 _NEEDS = {"pair": ("\",", "',", "`,", "\" ,"), "option": ("--", " -"), "element": ("</",), "attribute": ("value",), "said": (" is ", " was ", " = ", " : "), "comment": ("#", "//", "/*", "<!--", "--", ";", "*"), "annotated": ("@",), "remark": ("//", "#", "/*", "--")}
 _NAME_HINTS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "pat")
 _OTHER_HINTS = ("://", "akia", "asia", "aida", "aroa", "aiza", "sk-", "sk_", "rk_", "pk_", "vk_", "whsec_", "tok_", "gh", "xox", "eyj", "basic ", "digest ", "base64", "-u ", "--user", "mysql", "glpat", "npm_", "hf_", "sg.", "ya29")
-_LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{20}")
+_LONG_RUN = re.compile(r"[^\s\"'`]{16}")
 
 
-def _line_spans(line: str, named: bool) -> list[tuple[int, int, str]]:
+def _line_spans(line: str, named: bool, data: bool = False) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     for m in _ISSUED.finditer(line):
         v = m.group("bare")
@@ -210,6 +230,11 @@ def _line_spans(line: str, named: bool) -> list[tuple[int, int, str]]:
         for m in _TOKEN.finditer(line):
             if encoded_credential(m.group()):
                 out.append((*m.span(), "encoded"))
+            elif not data and unnamed_secret(m.group(), False, line):
+                out.append((*m.span(), "key"))
+        for m in _STRING.finditer(line) if not data else ():
+            if unnamed_secret(m.group("value"), True, line):
+                out.append((*m.span("value"), "key"))
     elif "base64" in line:
         for m in _TOKEN.finditer(line):
             if encoded_credential(m.group()):
@@ -217,6 +242,15 @@ def _line_spans(line: str, named: bool) -> list[tuple[int, int, str]]:
     return out
 
 
+def _data_line(text: str, start: int, end: int) -> bool:
+    """Whether the line text[start:end] is a literal beside another line of that kind."""
+    if not _LITERAL_LINE.fullmatch(text, start, end):
+        return False
+    before = text.rfind("\n", 0, max(start - 1, 0)) + 1
+    after = text.find("\n", end + 1)
+    return start > 0 and bool(_LITERAL_LINE.fullmatch(text, before, start - 1)) or end < len(text) and bool(_LITERAL_LINE.fullmatch(text, end + 1, len(text) if after < 0 else after))
+
+
 def spans(text: str | None) -> list[tuple[int, int, str]]:
     """Places of secret values in a text: (start, end, kind), ordered, not overlapping; of one value in several pieces the later ones have the kind 'more'."""
     if not text:
@@ -253,7 +287,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
         low = line.lower()
         named = any(h in low for h in _NAME_HINTS)
         if len(line) >= 8 and (named or any(h in low for h in _OTHER_HINTS) or _LONG_RUN.search(line)):
-            out += [(start + s, start + e, k) for s, e, k in _line_spans(line, named)]
+            out += [(start + s, start + e, k) for s, e, k in _line_spans(line, named, _data_line(text, start, end))]
     out.sort(key=lambda x: (x[0], -x[1]))
     merged: list[tuple[int, int, str]] = []
     for s, e, k in out:
@@ -287,7 +321,7 @@ def redact(text: str | None) -> str | None:
 
 
 def _gate_sql() -> str:
-    return r"(?i)pass|pwd|secret|token|credential|key|auth|bearer|BEGIN|://|AKIA|ASIA|AIza|sk-|gh[pousr]_|xox|eyJ|basic |base64|-u |mysql|[A-Za-z0-9+/_-]{24}"
+    return r"(?i)pass|pwd|secret|token|credential|key|auth|bearer|BEGIN|://|AKIA|ASIA|AIza|sk-|gh[pousr]_|xox|eyJ|basic |base64|-u |mysql|[^\s\"'`]{16}"
 
 
 def credential_lines(df: DataFrame, key: str, field: str) -> DataFrame:
