@@ -62,6 +62,22 @@ def test_ranks_over_ranges(spark):
     assert got["a", 1] == (1, 0) and got[None, 6] == (2, 5)
 
 
+def test_previous_rows_over_ranges(spark):
+    rows = [("hot", i, f"v{i}") for i in range(300)] + [("a", 1, None), ("a", 2, "x"), (None, 5, "y"), (None, 6, "z")]
+    got = {(r.g, r.o): r.p for r in ordering.previous_in_group(spark.createDataFrame(rows, "g string, o int, v string"), ["g"], ["o"], "v", "p").collect()}
+    assert all(got["hot", i] == (f"v{i - 1}" if i else None) for i in range(300))
+    assert got["a", 1] is None and got["a", 2] is None and got[None, 5] is None and got[None, 6] == "y"
+
+
+def test_chunks_across_stretches(spark, tmp_path):
+    rows = [(i, 1, i, "x" * 10 + ("jo" if i == 63 else "") if i != 64 else "e@mail.test") for i in range(130)] + [(200 + i, 2, i, "b" if i != 64 else "@mail.test") for i in range(63, 66)]
+    spark.createDataFrame(rows, "row_id long, export_id long, row_no int, raw string").write.parquet(f"{tmp_path}/delimited_rows.parquet")
+    from weirflow.plans.detect import detect_across_export
+
+    got = {r.row_id: (r.with_tail, r.alone) for r in detect_across_export(spark, str(tmp_path)).collect()}
+    assert got == {64: (1, 1), 264: (1, 0)}
+
+
 def test_budget_selection(spark):
     df = spark.createDataFrame([("w", 1, 0, 100), ("w", 2, 3, 50), ("w", 3, 3, 60), ("w", 4, 1, 10), ("w", 5, 2, None)], "g string, k int, r int, s int")
     assert {r.k: r.keep for r in budget.selection(df, "g", "k", "r", "s", 120).collect()} == {1: True, 2: False, 3: False, 4: True, 5: True}

@@ -33,3 +33,14 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, n
 def rank_in_group(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """df with the place (from 1) of each row in its group."""
     return running_sum(df.withColumn("_one", F.lit(1)), group, order, "_one", name).drop("_one").withColumn(name, F.col(name).cast("long"))
+
+
+def previous_in_group(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """df with value of the row before each row of the group (null for its first row). order must name every row of a group apart; nulls come first."""
+    r = _ranged(df, group, order)
+    here = Window.partitionBy("_part", *group).orderBy(*order)
+    last = r.groupBy("_part", *group).agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+    off = last.select("_part", *group, F.lag("_last").over(Window.partitionBy(*group).orderBy("_part")).alias("_before"))
+    on = [r["_part"] == off["_part"], *(r[g].eqNullSafe(off[g]) for g in group)]
+    out = r.join(off, on, "left").select(r["*"], off["_before"])
+    return out.withColumn(name, F.coalesce(F.lag(F.struct(value)).over(here), F.col("_before"))[value]).drop("_part", "_before")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weirflow.operators import detect as D
+from weirflow.operators import ordering as O
 from weirflow.plans.registry import Registry
 from weirflow.session import widen
 from weirflow.sources.tables import table
@@ -99,3 +100,15 @@ def detect_across_chunks(spark, sf_dir):
     x = d.withColumn("tail", F.coalesce(F.lag(F.expr("right(raw, 256)")).over(w), F.lit(""))).filter(F.contains("raw", F.lit("@")))
     n = lambda c: F.regexp_count(c, F.lit(_EMAIL))
     return x.select("row_id", n(F.concat("tail", "raw")).alias("with_tail"), n(F.col("raw")).alias("alone"))
+
+
+@R.add(
+    "detect_across_export",
+    f"WITH x AS (SELECT row_id, raw, coalesce(lag(right(raw, 256)) OVER (PARTITION BY export_id ORDER BY row_no NULLS FIRST, row_id NULLS FIRST), '') AS tail FROM delimited_rows) SELECT row_id, len(regexp_extract_all(tail || raw, {_sql(_EMAIL)})) AS with_tail, len(regexp_extract_all(raw, {_sql(_EMAIL)})) AS alone FROM x WHERE contains(raw, '@')",
+)
+def detect_across_export(spark, sf_dir):
+    """Matches in each chunk of an export with the tail of the chunk before it, wherever that lies; an export of any length is spread over ranges."""
+    d = table(spark, sf_dir, "delimited_rows").select("row_id", "export_id", "row_no", F.expr("right(raw, 256)").alias("end"), F.when(F.contains("raw", F.lit("@")), F.col("raw")).alias("raw"))
+    x = O.previous_in_group(d, ["export_id"], ["row_no", "row_id"], "end", "tail").filter(F.col("raw").isNotNull())
+    n = lambda c: F.regexp_count(c, F.lit(_EMAIL))
+    return x.select("row_id", n(F.concat(F.coalesce("tail", F.lit("")), "raw")).alias("with_tail"), n(F.col("raw")).alias("alone"))
