@@ -93,6 +93,19 @@ def test_evidence():
     assert S.evidence("x", None) is None and S.evidence("x", "  ") is None and S.evidence(None, source(2)) is None
 
 
+def test_evidence_beyond_the_first_lines():
+    licence = [f"Licence term {i} applies to all users of this work." for i in range(40)]
+    mark = "Code generated by gen. DO NOT EDIT."
+    code = "\n" + source(8)
+    assert S.evidence("a.go", "\n".join(f"// {x}" for x in licence) + f"\n\n// {mark}" + code) == "generated"
+    assert S.evidence("a.c", "/*\n" + "\n".join(licence) + f"\n{mark}\n*/" + code) == "generated"
+    assert S.evidence("a.php", "<?php\n" + "\n".join(f"# {x}" for x in licence) + f"\n# {mark}" + code) == "generated"
+    assert S.evidence("a.ts", "\n".join(f"// {x}" for x in licence) + code + f"\n// {mark}") is None
+    body = "\n".join(f"  {w}{i}: {w}" for i in range(60) for w in WORDS)
+    assert S.evidence("deps.yaml", f"settings:\n{body}\nlockfileVersion: '9.0'\n") == "lock"
+    assert S.evidence("x.map", '{"version":3,"names":["' + "n" * 5000 + '"],"sources":["a.ts"],"mappings":"AA"}') == "map"
+
+
 def test_copies(spark):
     lib = source(100, 30)
     changed = lib.replace("return", "return void 0 ||", 1)

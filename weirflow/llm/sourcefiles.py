@@ -2,8 +2,8 @@
 
 Copies are found by content: the token stream of a file, without comments, is fingerprinted by winnowing (the least hash of every window of
 token k-grams), a fingerprint recurs if it stands in files of several workspaces, and a file whose fingerprints largely recur is a vendored copy, also when it was slightly changed. The other
-kinds show in the text itself: marks of generators in the head comment, lock files, snapshots and maps by their form, density for minified code, the share of literal lines for data,
-and numbered repetition for code written by programs. Names and directories alone never decide; directories that a workspace asked to be scanned count as its own.
+kinds show in the text itself: marks of generators in the leading comments, however long, lock files, snapshots and maps by their form, density for minified code, the share of literal lines for data,
+and numbered repetition for code written by programs. Names and directories alone never decide; which directories a workspace asked to be scanned is not looked at, p6_kind_report only counts them.
 
 Defined cases: files without content (null, empty or blank) are never found. Files with fewer tokens than a k-gram have no fingerprints. Repeated rows are judged each; copies within one workspace don't make a
 fingerprint recur. The path may be null. Long files are read whole.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,8 +39,12 @@ _GENERATED = re.compile(
 _DO_NOT_EDIT = re.compile(r"DO NOT (?:EDIT|MODIFY|CHANGE)|(?i:\bdo not (?:edit|modify) (?:this file|by hand|manually|directly)\b)")
 _BY_HAND = re.compile(r"(?i)\b(?:edit(?:ed)?|written|maintained|kept|change[ds]?) (?:this file |it )?(?:by hand|manually)\b|\bnot (?:auto-?)?generated\b|in sync with the generated|hand-?written")
 _HEAD = re.compile(r"^\s*(?://|/\*|\*|#|<!--|--|;|\"\"\"|'''|%|\(\*|REM\b|@)")
+#: Block comments, what may stand before the first comment, and single lines.
+_BLOCKS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''", "(*": "*)"}
+_OPENING = re.compile(r"(?i)<\?|<!doctype|[\"']use strict[\"']")
+_LINE = re.compile(r"[^\n]+")
 _LOCK = re.compile(r"(?m)^\s*[\"']?lockfileVersion[\"']?\s*:|^# yarn lockfile|^# This file is automatically @generated by (?:Cargo|Poetry)|^\[\[package\]\]\s*\nname = |^GEM\n  remote:|\"_meta\":\s*\{\s*\"hash\"|^PODS:\n")
-_MAP = re.compile(r"^\s*(?:\)\]\}'?,?\s*)?\{\s*\"version\"\s*:\s*3\s*,[\s\S]{0,4000}?\"(?:mappings|sources)\"\s*:")
+_MAP = re.compile(r"^\s*(?:\)\]\}'?,?\s*)?\{\s*\"version\"\s*:\s*3\s*,[\s\S]*?\"(?:mappings|sources)\"\s*:")
 _SNAPSHOT = re.compile(r"(?m)^exports\[`[\s\S]*?`\]\s*=\s*`|^// (?:Jest|Vitest) Snapshot v\d|^# snapshot: ")
 #: Literals and the keys before them; a line of which nothing but punctuation is left without them is data.
 _STRIP = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|(?<![\w.])[-+]?\d[\w.+-]*|\b(?:true|false|null|none|nil)\b|\b\w+(?=\s*(?::|=>))", re.I)
@@ -55,15 +60,35 @@ def shape(line: str) -> str:
     return re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", line))
 
 
+def _leading(text: str) -> Iterator[str]:
+    """Lines of the comments before the first line that is neither comment nor blank, also those within a block comment."""
+    close = None
+    for m in _LINE.finditer(text):
+        line = m.group()
+        start = line.lstrip()
+        if close is None:
+            if not start.strip() or _OPENING.match(start):
+                continue
+            mark = next((k for k in _BLOCKS if start.startswith(k)), None)
+            if mark is None and not _HEAD.match(line):
+                return
+            if mark is not None and _BLOCKS[mark] not in start[len(mark) :]:
+                close = _BLOCKS[mark]
+        elif close in line:
+            close = None
+        yield line
+
+
 def evidence(path: str | None, text: str | None) -> str | None:
     """What the text of a file shows by itself: generated, lock, snapshot, map, minified, data, banner, repeated; None if nothing."""
     if text is None or not text.strip():
         return None
-    head = text.lstrip("\ufeff").split("\n", 12)[:12]
-    for line in head:
-        if _HEAD.match(line) and (_GENERATED.search(line) or _DO_NOT_EDIT.search(line)) and not _BY_HAND.search(line):
+    top = text.lstrip("\ufeff")
+    head = top.split("\n", 12)[:12]
+    for line in (*filter(_HEAD.match, head), *_leading(top)):
+        if (_GENERATED.search(line) or _DO_NOT_EDIT.search(line)) and not _BY_HAND.search(line):
             return "generated"
-    if _LOCK.search(text[:4000]) or re.search(r"(?i)(?:^|/)(?:[\w.-]+-lock\.(?:json|ya?ml)|[\w.-]+\.lock)$", path or "") and text.count("integrity") + text.count("resolved") + text.count("checksum") > 3:
+    if _LOCK.search(text) or re.search(r"(?i)(?:^|/)(?:[\w.-]+-lock\.(?:json|ya?ml)|[\w.-]+\.lock)$", path or "") and text.count("integrity") + text.count("resolved") + text.count("checksum") > 3:
         return "lock"
     if _MAP.match(text):
         return "map"
