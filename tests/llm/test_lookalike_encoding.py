@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 pytest.importorskip("weirflow.llm")
@@ -69,3 +71,10 @@ def test_lost_bytes_shifted_text_and_nulls(spark):
     assert [(r.k, r.restored) for r in E.garbled_rows(df, "k", "t").collect()] == [(3, "más")] * 2
     assert [r.t for r in E.restored_rows(df, "t").orderBy("k").collect()] == [None, "", "más", "más", "más"]
     assert E.examine("mÃ¡s " * 20_000)[1] == "más " * 20_000
+
+
+@pytest.mark.parametrize("text", ["naïvet{é}", "今日はcaf{é}です", "日本{é}語", "これは正しい文で{ここだけ}続く", "привет,мир{привет}", "schöner{Grüße}", "これは正しい文です。", "naïveté", "Größe–Maß"])
+def test_part_of_a_token(text):
+    garbled = re.sub(r"\{(.*)\}", lambda m: E._garble(m[1].encode(), "cp1252"), text)
+    assert E.examine(garbled)[1] == text.replace("{", "").replace("}", "")
+    assert E.examine(garbled)[0] == ("{" in text)

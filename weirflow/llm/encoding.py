@@ -1,9 +1,9 @@
 """Text that was read in the wrong character encoding: detection and restoration.
 
 The garbled form of every repertoire character is computed beforehand for all pairs (true encoding, wrong encoding) and put into one
-multi-pattern automaton. Matches name the pairs that a text may suffer from; under each of them the tokens of the text are read back, and a
-reading is taken only where it has fewer anomalies (controls, replacement characters, symbols within words, mixed scripts, case changes
-within words and so on) than the text as it stands. Only those tokens are replaced, correct text beside them stays.
+multi-pattern automaton. Matches name the pairs that a text may suffer from; under each of them the tokens of the text, and within a token
+the spans of adjacent matches, are read back, and a reading is taken only where it has fewer anomalies (controls, replacement characters, symbols within words, mixed scripts, case changes
+within words and so on) than the text as it stands. Only those tokens and spans are replaced, correct text beside them stays.
 
 Defined cases: null stays null and is never found; empty and ASCII texts are returned as they are; a text with lost bytes (U+FFFD) is found
 but only its restorable tokens are restored; long texts are processed whole, in time linear in their length.
@@ -262,6 +262,38 @@ def _special(token: str, text: str, true: str, wrong: str) -> float:
     return 0.0
 
 
+def _matched(token: str) -> dict[int, list[tuple[int, int]]]:
+    """Spans of adjacent garbled sequences in a token, for each pair that makes them."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    for b, a, pairs in sorted((end + 1, end + 1 - n, pairs) for end, (n, pairs) in automaton().iter(token)):
+        for k in pairs:
+            found = out.setdefault(k, [])
+            while found and found[-1][1] >= a:
+                a = min(a, found.pop()[0])
+            found.append((a, b))
+    return out
+
+
+#: Characters on each side of a span by which its reading is judged: as far as the checks look.
+_BESIDE = 3
+
+
+def _read_spans(token: str, spans: list[tuple[int, int]], true: str, wrong: str) -> str | None:
+    """token with those of its spans read back that have fewer anomalies then; the rest stays. None if there are none.
+
+    For UTF-8 read in one-byte encodings only: there a garbled sequence shows where its character begins, elsewhere matches also lie across characters or within correct text."""
+    out, last = [], 0
+    for a, b in spans:
+        x = read_back(token[a:b], true, wrong)
+        if x is None:
+            continue
+        left, right = token[max(0, a - _BESIDE) : a], token[b : b + _BESIDE]
+        if anomalies(left + x + right) < anomalies(left + token[a:b] + right):
+            out += [token[last:a], x]
+            last = b
+    return "".join([*out, token[last:]]) if out else None
+
+
 #: A reading as UTF-8 that succeeds is rarely an accident, unlike one in which every byte means something.
 _TRUST = {"utf-8": 2.0}
 
@@ -273,16 +305,15 @@ def _readings(token: str) -> tuple[float, tuple[tuple[int, float, str], ...]]:
     loose = _LOOSE.search(token) is not None
     out = []
     if before or loose or _HALF_WIDTH.fullmatch(token):
-        votes = {k for _, (_, pairs) in automaton().iter(token) for k in pairs}
-        for k in sorted(votes):
+        for k, spans in sorted(_matched(token).items()):
             true, wrong = PAIRS[k]
             if before == 0 and wrong != "cp932" and not loose:
                 continue
-            x = read_back(token, true, wrong)
-            if x is None:
-                continue
-            gain = before + _special(token, x, true, wrong) - anomalies(x)
-            if gain > 0 or gain == 0 and loose and not _LOOSE.search(x):
+            x, parts = read_back(token, true, wrong), _read_spans(token, spans, true, wrong) if true == "utf-8" and wrong != "cp932" else None
+            gain = before + _special(token, x, true, wrong) - anomalies(x) if x is not None else 0.0
+            if parts is not None and (x is None or before - anomalies(parts) > gain):
+                x, gain = parts, before - anomalies(parts)
+            if x is not None and (gain > 0 or gain == 0 and loose and not _LOOSE.search(x)):
                 out.append((k, gain, x))
     return before, tuple(out)
 
