@@ -41,3 +41,14 @@ def test_columns(spark):
     assert got == {1: [], 2: [], 3: ["email", "phone"], 4: [], 5: ["phone"]}
     out = {r.k: r.x for r in df.select("k", P.replaced(F.col("t"), frequent).alias("x")).collect()}
     assert out[1] is None and out[2] == "" and out[3] == "mail to [EMAIL]; tel [PHONE]" and out[4] == "nothing here" and out[5].startswith("call [PHONE] x x")
+
+
+def test_small_letters_reach_the_model(spark, tmp_path):
+    from weirflow.llm.personal_queries import p3_found, p3_redacted
+
+    spark.createDataFrame([(1, "x", "spoke with anna keller"), (2, "x", "call mr keller today"), (3, "x", "good progress this term"), (4, "x", " "), (5, "x", None)], "record_id long, name string, teacher_note string").write.parquet(f"{tmp_path}/student_scores.parquet")
+    spark.createDataFrame([(1, "x")], "list_id long, email string").write.parquet(f"{tmp_path}/customer_list.parquet")
+    assert {(r.field, r.row_key) for r in p3_found(spark, str(tmp_path)).collect()} == {("teacher_note", 1), ("teacher_note", 2)}
+    text = {r.row_key: r.text for r in p3_redacted(spark, str(tmp_path)).filter("field = 'teacher_note'").collect()}
+    assert "keller" not in text[1] + text[2]
+    assert (text[3], text[4], text[5]) == ("good progress this term", " ", None)

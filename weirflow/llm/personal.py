@@ -289,8 +289,8 @@ def _spans(values: list, model: Model) -> list[tuple[str, list]]:
     return list(zip(texts, model.judge([plain(t) for t in texts]), strict=True))
 
 
-#: Texts that can hold an item: anything with a digit, an at sign or a letter that isn't lower-case Latin.
-HINT = r"[0-9@]|[^\x00-\x7f]|[A-Z]|\bat\b"
+#: Texts that can hold an item: all that are not blank, since names and spelt-out addresses also stand in small letters alone.
+HINT = r"\S"
 
 
 def kinds_found(text: Column, frequent: frozenset[str], rows: int = SAMPLE_ROWS) -> Column:
