@@ -25,7 +25,7 @@ def kinds(text):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("write to pai.nu (at) quillmere (dot) example, please", ["email"]), ("ｌｕ＿ｇｒｉ＠ｑｕｉｌｌ．ｅｘａｍｐｌｅ bounced", ["email"]), ("3 @ 50 points each, capped", []), ("contact@", []), ("@post.test", []), ("tel 07700 900 371", ["phone"]), ("SSN 000-43-4686", ["id_number"]),
+        ("write to pai.nu (at) pinecone (dot) example, please", ["email"]), ("ｌｕ＿ｇｒｉ＠ｑｕｉｌｌ．ｅｘａｍｐｌｅ bounced", ["email"]), ("3 @ 50 points each, capped", []), ("contact@", []), ("@post.test", []), ("tel 07700 900 371", ["phone"]), ("SSN 000-43-4686", ["id_number"]),
         ("マイナンバー 7164 1247 5983", ["id_number"]), ("Ordered workbook 978-0-00-11956-19", []), ("(student S-97176)", []), ("wohnt Birkenhofstraße 33", ["street_address"]), ("moved to 71 rue des Tilleules-Gris", ["street_address"]), ("moved to room 3-91 after the break", []),
         ("Trip to Tarnwick Museum on the 27th", []), ("Mr Wona Leasen will tutor on Friday", ["name"]), ("祖母（青原友人）が来校。", ["name"]), ("", []),
     ],
@@ -52,3 +52,25 @@ def test_small_letters_reach_the_model(spark, tmp_path):
     text = {r.row_key: r.text for r in p3_redacted(spark, str(tmp_path)).filter("field = 'teacher_note'").collect()}
     assert "keller" not in text[1] + text[2]
     assert (text[3], text[4], text[5]) == ("good progress this term", " ", None)
+
+
+def test_sample_has_no_wording_of_the_tables(spark):
+    """No fixed piece of 12 characters or more, and no host, stands in a value of the tables that the model is applied to."""
+    from weirflow.llm import personal_sample as S
+
+    values = []
+    for tbl, field in (("student_scores", "teacher_note"), ("student_scores", "name"), ("customer_list", "email")):
+        values += [r[0].lower() for r in spark.read.parquet(f"/root/testdata/sf0.1/{tbl}.parquet").select(field).filter(F.col(field).isNotNull()).distinct().collect()]
+    whole = "\n".join(values)
+    assert [p for p in [*S.fixed_pieces(12), *S._HOSTS] if p.lower() in whole] == []
+
+
+def test_kinds_that_do_not_count_are_not_looked_for():
+    assert P.fitted().judge(["Anna Keller <a.keller@post.example>"], ("email",))[0][0][2] == "email"
+    assert len(P.fitted().judge(["Anna Keller <a.keller@post.example>"], ("email",))[0]) == 1
+
+
+def test_garbled_text_is_redacted_where_it_stands(spark):
+    df = spark.createDataFrame([(1, "rÃ©union avec Mme LÃ©a Moreau, tel 07700 900 371, Ã©tÃ©")], "k int, t string")
+    out = df.select(P.replaced(F.col("t"), frozenset()).alias("x")).first().x
+    assert out == "rÃ©union avec Mme [NAME], tel [PHONE], Ã©tÃ©"

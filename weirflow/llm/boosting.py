@@ -15,8 +15,11 @@ class BoostedTrees:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         n, m = x.shape
-        cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(m)]
-        codes = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
+        cuts = [self._cuts(x[:, j]) for j in range(m)]
+        width = self.bins  # at most bins - 1 cuts
+        codes = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1).astype(np.int32)
+        places = codes + np.arange(m, dtype=np.int32) * width  # one histogram for all features
+        open_bins = np.array([[b < len(c) for b in range(width)] for c in cuts])
         p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.base = float(np.log(p / (1 - p)))
         score = np.full(n, self.base)
@@ -34,26 +37,24 @@ class BoostedTrees:
                 value[node] = -self.rate * gs / (hs + self.ridge)
                 if 2 * node + 2 >= size or len(mine) < 2 * self.least:
                     continue
-                best = (1e-6, -1, 0)
-                for j in range(m):
-                    if not len(cuts[j]):
-                        continue
-                    k = codes[mine, j]
-                    width = len(cuts[j]) + 1
-                    gl, hl, nl = (np.cumsum(np.bincount(k, weights=w, minlength=width))[:-1] for w in (g[mine], h[mine], np.ones(len(mine))))
-                    gain = gl**2 / (hl + self.ridge) + (gs - gl) ** 2 / (hs - hl + self.ridge) - gs**2 / (hs + self.ridge)
-                    gain[(nl < self.least) | (len(mine) - nl < self.least)] = -1
-                    b = int(gain.argmax())
-                    if gain[b] > best[0]:
-                        best = (float(gain[b]), j, b)
-                if best[1] >= 0:
-                    feature[node], limit[node] = best[1], cuts[best[1]][best[2]]
-                    left = codes[mine, best[1]] <= best[2]
+                at_bins = places[mine].ravel()
+                gl, hl, nl = (np.bincount(at_bins, weights=None if w is None else np.repeat(w[mine], m), minlength=m * width).reshape(m, width).cumsum(axis=1) for w in (g, h, None))
+                gain = gl**2 / (hl + self.ridge) + (gs - gl) ** 2 / (hs - hl + self.ridge) - gs**2 / (hs + self.ridge)
+                gain[(nl < self.least) | (len(mine) - nl < self.least) | ~open_bins] = -1
+                j, b = divmod(int(gain.argmax()), width)
+                if gain[j, b] > 1e-6:
+                    feature[node], limit[node] = j, cuts[j][b]
+                    left = codes[mine, j] <= b
                     at[mine] = np.where(left, 2 * node + 1, 2 * node + 2)
             self.forest.append((feature, limit, value))
             score = score + self._apply(x, self.forest[-1])
         return self
 
+    def _cuts(self, column: np.ndarray) -> np.ndarray:
+        """Limits between a feature's values: all of them where they are few, so that a rare sign counts too, else quantiles."""
+        values = np.unique(column)
+        return values[:-1] if len(values) <= self.bins else np.unique(np.quantile(column, np.linspace(0, 1, self.bins + 1)[1:-1]))
+
     def _apply(self, x: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         feature, limit, value = tree
         at = np.zeros(len(x), dtype=int)

@@ -12,9 +12,9 @@ but only its restorable tokens are restored; long texts are processed whole, in
 from __future__ import annotations
 
 import re
-import unicodedata
+from collections.abc import Iterator
 from functools import cache, lru_cache
-from itertools import product
+from itertools import accumulate, product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -238,7 +238,7 @@ def _encode(token: str, wrong: str) -> bytes | None:
 def read_back(token: str, true: str, wrong: str) -> str | None:
     """token as it was before it was read in the wrong encoding (repeatedly, where only that gives proper characters), or None."""
     text, best = token, None
-    for _ in range(3 if true == "utf-8" else 1):
+    while True:  # every further reading as UTF-8 is shorter
         data = _encode(text, wrong)
         if data is None or data.isascii():
             break
@@ -248,6 +248,8 @@ def read_back(token: str, true: str, wrong: str) -> str | None:
             break
         if text != token and all(map(_allowed, text)) and (best is None or anomalies(text) < anomalies(best)):
             best = text
+        if true != "utf-8":
+            break
     return best
 
 
@@ -318,24 +320,58 @@ def _readings(token: str) -> tuple[float, tuple[tuple[int, float, str], ...]]:
     return before, tuple(out)
 
 
-def _once(text: str) -> tuple[str, str | None]:
+Replaced = list[tuple[int, int, str]]
+
+
+def _once(text: str) -> tuple[Replaced, int | None]:
+    """What one pair explains: the spans to be replaced (start, end, text), in order, and the pair's number; none if no pair gains enough."""
     tokens = [(m.start(), m.end(), _readings(m.group())[1]) for m in _TOKEN.finditer(text) if not m.group().isascii()]
     gains: dict[int, float] = {}
     for _, _, readings in tokens:
         for k, gain, _ in readings:
             gains[k] = gains.get(k, 0.0) + gain * _TRUST.get(PAIRS[k][0], 1.0)
     if not gains:
-        return text, None
+        return [], None
     best = max(sorted(gains), key=lambda k: gains[k])
     if gains[best] < 0.6:
-        return text, None
+        return [], None
+    return [(a, b, x) for a, b, readings in tokens for k, _, x in readings if k == best], best
+
+
+def _put(text: str, replaced: Replaced) -> str:
+    out, last = [], 0
+    for a, b, x in replaced:
+        out += [text[last:a], x]
+        last = b
+    return "".join([*out, text[last:]])
+
+
+def _extents(old: str, new: str, pair: int | None) -> list[tuple[int, int]]:
+    """For each character of new the place in old that it was read from: exactly where the pair's garbled forms add up to old, else equal ends one by one and the middle as a whole."""
+    if pair is not None:
+        true, wrong = PAIRS[pair]
+        try:
+            sizes = [len(_garble(ch.encode(true), wrong)) for ch in new]
+        except UnicodeEncodeError:
+            sizes = []
+        if sum(sizes) == len(old):
+            ends = list(accumulate(sizes))
+            return [(e - n, e) for e, n in zip(ends, sizes, strict=True)]
+    short = min(len(old), len(new))
+    head = next((i for i in range(short) if old[i] != new[i]), short)
+    tail = next((i for i in range(short - head) if old[-1 - i] != new[-1 - i]), short - head)
+    middle = [(head, len(old) - tail)] * (len(new) - head - tail)
+    return [*((i, i + 1) for i in range(head)), *middle, *((i, i + 1) for i in range(len(old) - tail, len(old)))]
+
+
+def _moved(places: list[tuple[int, int]], text: str, replaced: Replaced, pair: int | None) -> list[tuple[int, int]]:
+    """places (of each character of text in the text as delivered) after the replacement."""
     out, last = [], 0
-    for a, b, readings in tokens:
-        for k, _, x in readings:
-            if k == best:
-                out += [text[last:a], x]
-                last = b
-    return "".join([*out, text[last:]]), ">".join(PAIRS[best])
+    for a, b, x in replaced:
+        out += places[last:a]
+        out += [(places[a + i][0], places[max(a + i, a + j - 1)][1]) for i, j in _extents(text[a:b], x, pair)]
+        last = b
+    return out + places[last:]
 
 
 #: Text of a seven-bit encoding that was read as plain characters: everything between its shift sequences.
@@ -353,26 +389,51 @@ def _shifted(m: re.Match) -> str:
 LOST = 1.6
 
 
+def _rounds(text: str) -> Iterator[tuple[str, Replaced, int | None, str]]:
+    """The replacements that undo a text's misreadings, one round for each: (text before, replaced spans, pair's number, pair). Text can have been misread more than once, and in parts in different ways."""
+    shifted = [(m.start(), m.end(), _shifted(m)) for m in _SHIFTED.finditer(text)]
+    shifted = [x for x in shifted if x[2] != text[x[0] : x[1]]]
+    if shifted:
+        yield text, shifted, None, "iso2022_jp>ascii"
+        text = _put(text, shifted)
+    seen = {text}
+    while not text.isascii():
+        replaced, pair = _once(text)
+        now = _put(text, replaced)
+        if pair is None or now in seen:
+            return
+        yield text, replaced, pair, ">".join(PAIRS[pair])
+        seen.add(now)
+        text = now
+
+
+def _lost(token: str) -> bool:
+    """Whether a token that no pair explains is garbled beyond repair: lost bytes, or garbled sequences that don't read back with as many anomalies as LOST."""
+    return _HARD.search(token) is not None or not token.isascii() and _readings(token)[0] >= LOST and next(iter(automaton().iter(token)), None) is not None
+
+
 def examine(text: str | None) -> tuple[bool, str | None, str | None]:
     """(garbled, restored text, pairs): pairs in the order in which they were undone, '?' where text stays lost."""
     if text is None:
         return False, None, None
-    pairs: list[str] = []
-    now = _SHIFTED.sub(_shifted, text)
-    if now != text:
-        pairs.append("iso2022_jp>ascii")
-    if now.isascii():
-        return bool(pairs), now, "+".join(pairs) or None
-    for _ in range(4):  # text can have been misread more than once, and in parts in different ways
-        now, pair = _once(now)
-        if pair is None:
-            break
-        pairs.append(pair)
-    if _HARD.search(now) or any(_readings(t)[0] >= LOST for t in _TOKEN.findall(now) if not t.isascii()):
+    now, pairs = text, []
+    for before, replaced, _, name in _rounds(text):
+        now = _put(before, replaced)
+        pairs.append(name)
+    if not now.isascii() and (_HARD.search(now) or any(map(_lost, _TOKEN.findall(now)))):
         pairs.append("?")
     return bool(pairs), now, "+".join(pairs) or None
 
 
+def restored_places(text: str) -> tuple[str, list[tuple[int, int]] | None]:
+    """The restored text, and for each of its characters the place (start, end) in the text as delivered; None if nothing was restored."""
+    now, places = text, None
+    for before, replaced, pair, _ in _rounds(text):
+        places = _moved([(i, i + 1) for i in range(len(text))] if places is None else places, before, replaced, pair)
+        now = _put(before, replaced)
+    return now, places
+
+
 _SCHEMA = "garbled boolean, restored string, pairs string"
 
 
@@ -401,8 +462,3 @@ def garbled_rows(df: DataFrame, key: str, field: str) -> DataFrame:
 def restored_rows(df: DataFrame, field: str) -> DataFrame:
     """df with field restored where it was garbled and could be; all other rows and columns as they are."""
     return df.withColumn(field, F.when(F.col(field).rlike(NOT_ASCII), examined(F.col(field))["restored"]).otherwise(F.col(field)))
-
-
-def script_name(ch: str) -> str:
-    """First word of a character's Unicode name, used in reports."""
-    return unicodedata.name(ch, "UNNAMED").split(" ")[0]

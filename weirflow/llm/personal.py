@@ -2,14 +2,17 @@
 
 Generators with high recall propose overlapping spans; boosted trees judge each by its format and its context; thresholds, calibrated on held-out rows, select those to
 be replaced. The trees are fitted on a bounded sample of labelled rows that personal_sample.py makes up (SAMPLE_ROWS of them); how often words occur is counted over all rows.
-Text that was read in the wrong encoding is judged as restored.
+Text that was read in the wrong encoding is judged as restored, and redacted where it stands.
 
 Defined cases: null and empty texts hold nothing and come back as they are. Repeated rows are judged each. Full-width letters and digits count as the plain ones. Long texts are processed whole.
 """
 
 from __future__ import annotations
 
+import copy
 import re
+import zlib
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -18,12 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.boosting import BoostedTrees
-from weirflow.llm.encoding import examine
+from weirflow.llm.encoding import restored_places
 
 KINDS = ("email", "phone", "id_number", "street_address", "name")
 PLACEHOLDER = "[{}]"
 #: Labelled rows that the trees are fitted on.
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 12_000
 #: A word is frequent if it is in at least this share of the texts; there are at most (words of a text) / FREQUENT such words.
 FREQUENT = 0.0005
 
@@ -33,7 +36,7 @@ _WIDE = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {0x3000: " ", 0xA0
 _AT = r"(?:@|\s*[\[({<]\s*(?:at|AT|@|ät|arroba)\s*[\])}>]\s*|\s+(?:at|AT|arroba)\s+)"
 _DOT = r"(?:\.|\s*[\[({<]\s*(?:dot|DOT|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|DOT)\s+)"
 _EMAIL = re.compile(rf"(?<![\w.+-])[A-Za-z0-9](?:[\w+-]|\.(?=[\w+-]))*{_AT}[A-Za-z0-9][\w-]*(?:{_DOT}[A-Za-z0-9][\w-]*)+")
-_NUMBER = re.compile(r"(?<!\w)(?:\+|\(\+?)?\d(?:\d|(?:[ .()/-]|\) | \(| - )(?=[\d(])){5,22}\d(?!\w)")
+_NUMBER = re.compile(r"(?<![A-Za-z0-9_À-ÿ])(?:\+|\(\+?)?\d(?:\d|(?:[ .()/-]|\) | \(| - )(?=[\d(])){5,22}\d(?![A-Za-z0-9_À-ÿ])")
 _ID = re.compile(r"(?<![\w-])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z]{1,3}\d{6,9}[A-Z]?|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z])(?![\w-])")
 _LETTER = r"[A-Za-zªºÀ-ÖØ-öø-ɏͰ-ӿḀ-ỿ\u0300-\u036f]"
 _W = rf"{_LETTER}+(?:['’.-]{_LETTER}+)*"
@@ -51,7 +54,7 @@ _ADDRESS = [
 _RUN = re.compile(rf"{_LETTER}+(?:['’-]{_LETTER}+)*\.?")
 _HAN_NAME = re.compile(r"[一-鿿々]{1,4}(?:[  　][一-鿿々]{1,3})?")
 _KATAKANA_NAME = re.compile(r"[゠-ヺー]{2,8}(?:[ 　・][゠-ヺー]{2,8})?")
-_HONORIFIC = re.compile(r"\s?(?:様|さん|君|くん|ちゃん|先生|氏|殿|さま|選手|教諭|と組んで|が来校)")
+_HONORIFIC = re.compile(r"\s?(?:様|さん|君|くん|ちゃん|先生|氏|殿|さま|選手|教諭)")
 
 # Words of context.
 TITLES = frozenset("mr mrs ms miss mx dr prof sir madam herr frau fräulein mme mlle madame monsieur m sr sra srta don doña señor señora dona senhor senhora professor professora coach nurse г-н г-жа господин госпожа".split())
@@ -59,43 +62,84 @@ RELATIVES = frozenset("mother father mum mom dad aunt uncle cousin brother siste
 THINGS = frozenset(
     "school college university academy museum cup reader hill house lighthouse library gallery park theatre theater stadium festival award prize club team league tournament competition exam test chapter unit page room course group class book novel street road avenue lane river lake mountain bridge station airport hospital church institute "
     "centre center company trust day week month monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december hall tower press journal edition series project programme program museums trip english french german spanish maths math science history".split())
-_CUE = re.compile(r"(?i)\b(?:mr|mrs|ms|dr|herr|frau|mme|m|sr|sra|by|with|to|of|and|avec|mit|von|con|de|com)\.? $")
+#: Signs that join a word to what stands before or after it: parts of addresses, names of files and numbers are no names in small letters.
+_JOINED, _JOINED_AFTER = "@._/#+0123456789", ("@", "_", "/", "#", "+", *"0123456789")
 _STOP = re.compile(r"(?:^|[.!?。！？:;/•|\n\"“»(]|(?:^|\s)[-–—])\s*$")
+_MARKS = dict.fromkeys(range(0x300, 0x370))
 
 
 def plain(text: str) -> str:
     """text with wide letters, digits and blanks as the plain ones; every place stays where it is."""
-    return text.translate(_WIDE)
-
-
-def _names(t: str, frequent: frozenset[str]):
-    words = [m for m in _RUN.finditer(t) if len(m.group().rstrip(".")) > 1]
-    rare = [m for m in words if m.group()[0].islower() and m.group().rstrip(".") not in frequent and len(m.group()) > 2]
-    for a, b in zip(rare, rare[1:], strict=False):
-        if t[a.end() : b.start()] == " ":
-            yield a.start(), b.end() - b.group().endswith(".")
-    for m in rare:
-        if _CUE.search(t[max(0, m.start() - 16) : m.start()]):
-            yield m.start(), m.end() - m.group().endswith(".")
-    runs: list[list[re.Match]] = []
-    for m in words:
-        w = m.group()
-        if not (w[0].isupper() and not "぀" <= w[0] <= "鿿"):
+    return text if text.isascii() else text.translate(_WIDE)
+
+
+class _Text:
+    """A plain text with what its candidates' features share: words, their frequency, and the surroundings of each place, looked at once."""
+
+    __slots__ = ("before", "after", "frequent", "t", "words")
+
+    def __init__(self, t: str, frequent: frozenset[str]) -> None:
+        self.t, self.frequent = t, frequent
+        self.before: dict[int, tuple] = {}
+        self.after: dict[int, tuple] = {}
+        self.words = [(m.start(), m.end(), m.group()) for m in _RUN.finditer(t)]
+
+    def left(self, s: int) -> tuple:
+        """Word before, signs before, whether a sentence starts here, whether a capital word stands right before, whether a URL or a word does."""
+        got = self.before.get(s)
+        if got is None:
+            near = self.t[max(0, s - 40) : s]
+            b = _BEFORE.search(near)
+            word = (b.group(1) or "").lower()
+            if word and word[-1] > "⺀":  # scripts without blanks between words
+                word = word[-1]
+            got = self.before[s] = (word, b.group(2) or "", not s or _STOP.search(near[-12:]) is not None, _MORE_LEFT.search(near[-30:]) is not None, near[-1:])
+        return got
+
+    def right(self, e: int) -> tuple:
+        """Signs after, word after, whether a capital word follows, whether an honorific does, whether the text ends."""
+        got = self.after.get(e)
+        if got is None:
+            near = self.t[e : e + 40]
+            a = _AFTER.match(near)
+            word = (a.group(2) or "").lower()
+            if word and word[0] > "⺀":
+                word = word[:2]
+            got = self.after[e] = (a.group(1) or "", word, _MORE_RIGHT.match(near) is not None, _HONORIFIC.match(near) is not None, not near.strip(" .)>"), near[:1])
+        return got
+
+
+def _names(x: _Text):
+    t, frequent = x.t, x.frequent
+    words = [w for w in x.words if w[1] - w[0] - w[2].endswith(".") > 1 or w[2][0].isupper() and w[2].endswith(".")]
+    small = [w for w in words if len(w[2]) > 2 and w[2][0].islower() and not (t[w[0] - 1 : w[0]] in _JOINED and w[0]) and t[w[1] : w[1] + 1] not in _JOINED_AFTER]
+    rare = {w[0] for w in small if w[2].rstrip(".") not in frequent}
+    for s, e, w in small:
+        if s in rare or x.left(s)[0] in TITLES:
+            yield s, e - w.endswith(".")
+    for a, b in zip(small, small[1:], strict=False) if rare else ():
+        if (a[0] in rare or b[0] in rare) and a[1] + 1 == b[0] and t[a[1]] == " ":
+            yield a[0], b[1] - b[2].endswith(".")
+    runs: list[list] = []
+    for w in words:
+        if not w[2][0].isupper():
             continue
-        if runs and t[runs[-1][-1].end() : m.start()] == " " and not runs[-1][-1].group().endswith(".") and len(runs[-1]) < 6:
-            runs[-1].append(m)
-        elif runs and t[runs[-1][-1].end() : m.start()] == " " and runs[-1][-1].group().rstrip(".").lower() in TITLES:
-            runs.append([m])
+        last = runs[-1][-1] if runs else None
+        follows = last is not None and last[1] + 1 == w[0] and t[last[1]] == " "
+        if follows and (not last[2].endswith(".") or len(last[2]) == 2) and len(runs[-1]) < 6:
+            runs[-1].append(w)
         else:
-            runs.append([m])
+            runs.append([w])
     for run in runs:
         for i in range(len(run)):
             for j in range(i, min(len(run), i + 3)):
-                last = run[j]
-                end = last.end() - last.group().endswith(".")
+                end = run[j][1] - run[j][2].endswith(".")
                 if t[end - 2 : end] in ("'s", "’s"):
                     end -= 2
-                yield run[i].start(), end
+                if end - run[i][0] > 1:
+                    yield run[i][0], end
+    if t.isascii():
+        return
     for m in _HAN_NAME.finditer(t):
         s, e = m.span()
         yield s, e
@@ -111,23 +155,34 @@ def _names(t: str, frequent: frozenset[str]):
         yield m.span()
 
 
-def candidates(t: str, frequent: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
+def candidates(t: str, frequent: frozenset[str] = frozenset(), kinds: tuple[str, ...] = KINDS) -> list[tuple[int, int, str]]:
     """Spans proposed for the kinds in a plain text, overlapping."""
-    out = [(*m.span(), "email") for m in _EMAIL.finditer(t)]
-    for m in _NUMBER.finditer(t):
-        s, e = m.span()
-        if t[s] == "(" and ")" not in t[s:e]:
-            s += 1
-        digits = sum(c.isdigit() for c in t[s:e])
-        if 7 <= digits <= 15:
-            out += [(s, e, "phone"), (s, e, "id_number")]
-    out += [(*m.span(), "id_number") for m in _ID.finditer(t)]
-    for rx in _ADDRESS:
-        out += [(*m.span(), "street_address") for m in rx.finditer(t)]
-    out += [(s, e, "name") for s, e in _names(t, frequent)]
+    return _candidates(_Text(t, frequent), kinds)
+
+
+def _candidates(x: _Text, kinds: tuple[str, ...] = KINDS) -> list[tuple[int, int, str]]:
+    t, out = x.t, []
+    if "email" in kinds and ("@" in t or _AT_WORD.search(t)):
+        out += [(*m.span(), "email") for m in _EMAIL.finditer(t)]
+    if _DIGIT.search(t):
+        for m in _NUMBER.finditer(t):
+            s, e = m.span()
+            if t[s] == "(" and ")" not in t[s:e]:
+                s += 1
+            if 7 <= sum(map(str.isdigit, t[s:e])) <= 15:
+                out += [(s, e, k) for k in ("phone", "id_number") if k in kinds]
+        if "id_number" in kinds:
+            out += [(*m.span(), "id_number") for m in _ID.finditer(t)]
+        if "street_address" in kinds:
+            for rx in _ADDRESS:
+                out += [(*m.span(), "street_address") for m in rx.finditer(t)]
+    if "name" in kinds:
+        out += [(s, e, "name") for s, e in _names(x)]
     return list(dict.fromkeys(out))
 
 
+_AT_WORD = re.compile(r"(?i)\bat\b|\bät\b|arroba")
+_DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*(?:['’-][^\W\d_]+)*")
 
 _MORE_RIGHT = re.compile(rf"[ -](?:[A-ZÀ-ÞЀ-Я]|[゠-ヺ一-鿿])")
@@ -135,73 +190,113 @@ _MORE_LEFT = re.compile(rf"(?:(?<!\w)[A-ZÀ-ÞЀ-Я]{_LETTER}*|[゠-ヺ一-鿿])
 
 # ---- features ---------------------------------------------------------------------------------------------------------------------------
 _BEFORE = re.compile(r"(?:([^\W\d_][\w'’]*)[.,]?\s*)?([^\s\w]*)\s*$")
-_AFTER = re.compile(r"^([^\s\w]*)\s*([^\W_][\w'’]*)?")
-
-
-def context(t: str, s: int, e: int) -> tuple[str, str, str, str]:
-    """Word before, signs before, signs after, word after (lower case)."""
-    b = _BEFORE.search(t[max(0, s - 40) : s])
-    a = _AFTER.match(t[e : e + 40])
-    wb, wa = (b.group(1) or "").lower(), (a.group(2) or "").lower()
-    if wb and wb[-1] > "⺀":  # scripts without blanks between words
-        wb = wb[-1]
-    if wa and wa[0] > "⺀":
-        wa = wa[:2]
-    return wb, b.group(2) or "", a.group(1) or "", wa
-
-
-def features(t: str, s: int, e: int, kind: str, model: "Model") -> list[float]:
-    x = t[s:e]
-    wb, sb, sa, wa = context(t, s, e)
-    digits = re.sub(r"\D", "", x)
-    groups = re.findall(r"\d+", x)
-    words = _WORD.findall(x)
+_AFTER = re.compile(r"([^\s\w]*)\s*([^\W_][\w'’]*)?")
+_ARTICLES = frozenset("the der die das den dem le la les el los las o a an ein eine une un una um uma".split())
+_URL_BEFORE = re.compile(r"(?:https?://|www\.)\S*$")
+_PHONE_BEFORE = re.compile(r"(?:tel|tél|tfno|phone|call|dial|text|mobil\w*|móvil|telem\w+|handy|cell|fax|ruf|whatsapp|☎|電話|携帯|連絡は|тел|звонить)\W*$")
+_ID_BEFORE = re.compile(r"(?:\bid\b|id no|id card|ssn|social security|passport|passeport|pasaporte|passaporte|pass|ausweis|national|personal|identity|identité|insurance|nino|tax|fiscal|steuernummer|マイナンバー|個人番号|旅券\w*|паспорт|инн|dni|nie|nif|carte)\W*(?:no|n°|nr|num|number)?\W*$")
+_SSN, _FOURS, _BOOK = re.compile(r"\d{3}-\d{2}-\d{4}"), re.compile(r"\d{4}[ -]?\d{4}[ -]?\d{4}"), re.compile(r"97[89][ -]")
+_DATE = re.compile(r"(?:19|20)\d\d[-./](?:0?[1-9]|1[0-2])\b|\b\d{1,2}[./]\d{1,2}[./](?:19|20)\d\d")
+_GROUPS, _CAPITAL = re.compile(r"\d+"), re.compile("[A-Z]")
+#: Candidates of one family are judged by one forest.
+FAMILY = {"phone": "number", "id_number": "number", "email": "email", "street_address": "street_address", "name": "name"}
+
+
+def _cues(x: _Text, s: int, e: int, kind: str, model: Model) -> tuple:
+    wb, sb, stop, _, pb = x.left(s)
+    sa, wa, _, _, end, pa = x.right(e)
+    return model.cue("b", kind, wb), model.cue("a", kind, wa), model.cue("sa", kind, sa[:1] or "_"), model.cue("sb", kind, sb[-1:] or "_"), stop, end, wb != "", wa != "", pb.isalnum() or pb == "-" or pb == "_", pa.isalnum() or pa == "-" or pa == "_"
+
+
+def _number_features(x: _Text, s: int, e: int, kind: str, model: Model) -> tuple:
+    v = x.t[s:e]
+    groups = _GROUPS.findall(v)
+    sizes = [*map(len, groups)]
+    near = x.t[max(0, s - 40) : s].lower()
+    return (
+        kind == "phone", len(v), sum(sizes), len(sizes), sizes[0], sizes[-1], max(sizes), min(sizes), v[0] == "+", v[:2] == "00", "(" in v, v.count("-"), v.count(" "), v.count("."), "/" in v, v[0] == "0", _SSN.fullmatch(v) is not None, _FOURS.fullmatch(v) is not None,
+        _BOOK.match(v) is not None, _DATE.search(v) is not None, _CAPITAL.search(v) is not None, v[0].isalpha(), v[-1].isalpha(), "://" in near and _URL_BEFORE.search(x.t[max(0, s - 60) : s]) is not None, _PHONE_BEFORE.search(near) is not None, _ID_BEFORE.search(near) is not None, groups[0] == "1", *_cues(x, s, e, kind, model),
+    )
+
+
+def _email_features(x: _Text, s: int, e: int, kind: str, model: Model) -> tuple:
+    v = x.t[s:e]
+    at = v.find("@")
+    last = v[max(v.rfind("."), v.rfind(" ")) + 1 :]
+    return len(v), at, v.count(" "), v.count("."), len(last), at >= 0, "(" in v or "[" in v or "<" in v or "{" in v, v.isupper(), sum(map(str.isdigit, v)), last.isalpha(), last.isalpha() and len(last) >= 2, *_cues(x, s, e, kind, model)
+
+
+def _address_features(x: _Text, s: int, e: int, kind: str, model: Model) -> tuple:
+    v = x.t[s:e]
+    words = _WORD.findall(v)
     low = [w.lower() for w in words]
-    k = KINDS.index(kind)
-    frequent = [w.lower() in model.frequent for w in words]
-    script = 0 if not words else 1 if words[0][0] <= "ɏ" else 2 if "Ѐ" <= words[0][0] <= "ӿ" else 3 if "一" <= words[0][0] <= "鿿" else 4
-    cue_b, cue_a = model.cue("b", kind, wb), model.cue("a", kind, wa)
-    before_all = t[max(0, s - 24) : s].lower()
-    url = bool(re.search(r"(?:https?://|www\.)\S*$", t[max(0, s - 60) : s]))
-    return [
-        k, len(x), len(words), len(digits), len(groups), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, max(map(len, groups), default=0),
-        x.startswith("+"), "(" in x, x.count("-"), x.count(" "), x.count("."), x[:1] == "0", bool(re.fullmatch(r"\d{3}-\d{2}-\d{4}", x)), bool(re.fullmatch(r"\d{4}[ -]?\d{4}[ -]?\d{4}", x)),
-        bool(re.match(r"97[89][ -]", x)), bool(re.search(r"(?:19|20)\d\d[-./](?:0?[1-9]|1[0-2])\b|\b\d{1,2}[./]\d{1,2}[./](?:19|20)\d\d", x)), bool(re.search(r"[A-Z]", x)), sb.endswith("-") or t[s - 1 : s].isalnum(), sa.startswith("-") or t[e : e + 1].isalnum(),
-        url, cue_b, cue_a, model.cue("sa", kind, sa[:1] or "_"), model.cue("sb", kind, sb[-1:] or "_"), bool(_STOP.search(t[:s][-12:])) or s == 0, e >= len(t.rstrip(" .)>")), sum(frequent) / max(1, len(frequent)),
-        float(frequent[0]) if frequent else 0.0, float(frequent[-1]) if frequent else 0.0, wb in TITLES or (low[:1] and low[0] in TITLES and -1.0) or 0.0, wb in RELATIVES, any(w in THINGS for w in low) or wa in THINGS or wa.rstrip("s") in THINGS, script, bool(x[:1].islower()), bool(x.isupper()), bool(_MORE_RIGHT.match(t, e)), bool(_MORE_LEFT.search(t[max(0, s - 30) : s])), bool(_HONORIFIC.match(t, e)),
-        wb in ("the", "der", "die", "das", "le", "la", "el", "los", "das", "o", "a", "an", "ein", "une", "un"), bool(t[s - 1 : s] in "'\"“«「『" and s), bool(re.search(r"(?:tel|tél|phone|call|mobile|handy|cell|fax|☎|電話|携帯|тел)\W*$", before_all)), bool(re.search(r"(?:\bid\b|id no|ssn|passport|ausweis|national|personal|identity|nino|tax|マイナンバー|旅券|паспорт|dni|carte)\W*(?:no|nr|num|number)?\W*$", before_all)),
-    ]
+    digits = _GROUPS.findall(v)
+    return len(v), len(words), len(digits), max(map(len, digits), default=0), v[:1].isdigit(), v[:1].isupper(), v[-1:].isdigit(), "," in v, _script(words), any(w in THINGS for w in low), sum(w in x.frequent for w in low) / max(1, len(low)), *_cues(x, s, e, kind, model)
+
+
+def _script(words: list[str]) -> int:
+    c = words[0][0] if words else ""
+    return 0 if not c else 1 if c <= "ɏ" else 2 if "Ѐ" <= c <= "ӿ" else 3 if "一" <= c <= "鿿" else 4
+
+
+def _name_features(x: _Text, s: int, e: int, kind: str, model: Model) -> tuple:
+    v = x.t[s:e]
+    words = v.split() if " " in v or "　" in v else [v]
+    low = [w.lower().rstrip(".") for w in words]
+    known = [w in x.frequent for w in low]
+    script = _script(words)
+    wb, sb, stop, more_left, pb = x.left(s)
+    sa, wa, more_right, honorific, end, pa = x.right(e)
+    cue = model.cue
+    joined = "".join(words) if script >= 3 else ""
+    thing = wa in THINGS or wa.rstrip("s") in THINGS
+    return (
+        len(v), len(words), script, v.islower(), v.isupper() and len(v) > 2, sum(known) / len(known), known[0], known[-1], wb in TITLES, low[0] in TITLES, wb in RELATIVES, low[0] in RELATIVES, thing, any(w in THINGS for w in low), wb in THINGS, len(low[0]), len(low[-1]), "-" in v, "'" in v or "’" in v,
+        more_left, more_right, honorific, wb in _ARTICLES, pb in "'\"“«「『‘" and pb != "", pa in "'\"”»」』’" and pa != "", pb in "@./_#" and pb != "", pa in "@/_#" and pa != "", wb in x.frequent, wa in x.frequent, sb[-1:] == ",", sa[:1] == ",", sa[:1] == "(", sb[-1:] == "(", sb[-1:] in (":", "："), len(joined), "の" in pa, pb > "⺀", pa > "⺀",
+        cue("h", kind, joined[:1]) if script == 3 else 0.0, cue("h2", kind, joined[1:2]) if script == 3 else 0.0, cue("l2", kind, joined[-2:-1]) if script == 3 else 0.0, cue("l", kind, joined[-1:]) if script == 3 else 0.0, cue("e", kind, low[-1][-3:]) if script in (1, 2) else 0.0, cue("w", kind, low[0]) if script in (1, 2) else 0.0, *_cues(x, s, e, kind, model),
+    )
+
+
+_FEATURES = {"number": _number_features, "email": _email_features, "street_address": _address_features, "name": _name_features}
 
 
 class Model:
-    """Frequent words, cue rates, trees and thresholds. cue rates: how often, in the sample, a candidate of a kind with a certain neighbour is of the kind (smoothed)."""
+    """Frequent words, cue rates, trees and thresholds. cue rates: how often, in the sample, a candidate of a kind with a certain neighbour (or, for names, part) is of the kind (smoothed)."""
 
     def __init__(self) -> None:
         self.frequent: frozenset[str] = frozenset()
         self.rates: dict[tuple[str, str, str], float] = {}
         self.prior: dict[str, float] = {}
-        self.trees = BoostedTrees()
+        self.trees: dict[str, BoostedTrees] = {}
         self.thresholds: dict[str, float] = {}
 
     def cue(self, side: str, kind: str, word: str) -> float:
-        return self.rates.get((side, kind, word), self.prior.get(kind, 0.3))
+        got = self.rates.get((side, kind, word))
+        return self.prior[kind] if got is None else got
 
-    def judge(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+    def with_frequent(self, words: frozenset[str]) -> Model:
+        """The model for a corpus in which these words are frequent."""
+        m = copy.copy(self)
+        m.frequent = self.frequent | words
+        return m
+
+    def judge(self, texts: list[str], kinds: tuple[str, ...] = KINDS) -> list[list[tuple[int, int, str, float]]]:
         """Selected spans of plain texts: (start, end, kind, probability), not overlapping, ordered."""
-        found, rows, owners = [candidates(t, self.frequent) for t in texts], [], []
-        for i, (t, c) in enumerate(zip(texts, found, strict=True)):
-            for s, e, k in c:
-                rows.append(features(t, s, e, k, self))
-                owners.append(i)
+        rows: dict[str, list[tuple]] = {f: [] for f in _FEATURES}
+        owners: dict[str, list[tuple]] = {f: [] for f in _FEATURES}
+        for i, t in enumerate(texts):
+            x = _Text(t, self.frequent)
+            for s, e, k in _candidates(x, kinds):
+                f = FAMILY[k]
+                rows[f].append(_FEATURES[f](x, s, e, k, self))
+                owners[f].append((i, s, e, k))
         out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
-        if not rows:
-            return out
-        p = self.trees.probability(np.asarray(rows, dtype=float))
-        flat = [x for c in found for x in c]
         chosen: dict[int, list] = {}
-        for i, (s, e, k), q in zip(owners, flat, p, strict=True):
-            if q >= self.thresholds[k]:
-                chosen.setdefault(i, []).append((s, e, k, float(q)))
+        for f, mine in rows.items():
+            if mine:
+                for (i, s, e, k), q in zip(owners[f], self.trees[f].probability(np.asarray(mine, dtype=float)).tolist(), strict=True):
+                    if q >= self.thresholds[k]:
+                        chosen.setdefault(i, []).append((s, e, k, q))
         for i, spans in chosen.items():
             taken: list[tuple[int, int, str, float]] = []
             for x in sorted(spans, key=lambda x: (-(x[3] + 0.02 * (x[1] - x[0]) ** 0.5 + (0.3 if x[2] in ("email", "street_address") else 0)), x[0])):
@@ -211,22 +306,41 @@ class Model:
         return out
 
 
-def _cue_rates(data: list[tuple[str, int, int, str, bool]]) -> tuple[dict, dict]:
+def _cue_rates(data: list[tuple[_Text, int, int, str, bool]]) -> tuple[dict, dict]:
     seen: dict[tuple[str, str, str], list[int]] = {}
-    per: dict[str, list[int]] = {}
-    for t, s, e, k, y in data:
-        wb, sb, sa, wa = context(t, s, e)
-        for key in (("b", k, wb), ("a", k, wa), ("sa", k, sa[:1] or "_"), ("sb", k, sb[-1:] or "_")):
+    per: dict[str, list[int]] = {k: [0, 0] for k in KINDS}
+    for x, s, e, k, y in data:
+        wb, sb, *_ = x.left(s)
+        sa, wa, *_ = x.right(e)
+        keys = [("b", k, wb), ("a", k, wa), ("sa", k, sa[:1] or "_"), ("sb", k, sb[-1:] or "_")]
+        if k == "name":
+            words = x.t[s:e].split()
+            script = _script(words)
+            if script == 3:
+                joined = "".join(words)
+                keys += [("h", k, joined[:1]), ("h2", k, joined[1:2]), ("l2", k, joined[-2:-1]), ("l", k, joined[-1:])]
+            elif script in (1, 2):
+                keys += [("e", k, words[-1].lower().rstrip(".")[-3:]), ("w", k, words[0].lower().rstrip("."))]
+        for key in keys:
             c = seen.setdefault(key, [0, 0])
             c[0] += y
             c[1] += 1
-        c = per.setdefault(k, [0, 0])
-        c[0] += y
-        c[1] += 1
-    prior = {k: a / n for k, (a, n) in per.items()}
+        per[k][0] += y
+        per[k][1] += 1
+    prior = {k: (a + 1) / (n + 2) for k, (a, n) in per.items()}
     return {key: (a + 4 * prior[key[1]]) / (n + 4) for key, (a, n) in seen.items() if n >= 3}, prior
 
 
+def _hit(s: int, e: int, k: str, gold: list[tuple[int, int, str]]) -> bool:
+    if k == "name":
+        return any(g == k and (s, e) == (a, b) for a, b, g in gold)
+    return any(g == k and s < b and a < e and min(e, b) - max(s, a) >= 0.6 * (b - a) for a, b, g in gold)
+
+
+#: Sides of the cues that are words or parts of a name, not signs.
+_WORD_CUES = frozenset(("b", "a", "w", "e", "h", "h2", "l2", "l"))
+
+
 @cache
 def fitted(rows: int = SAMPLE_ROWS) -> Model:
     """The model, fitted on a made-up labelled sample and calibrated on as much again as a quarter of it, held out. The frequent words are to be set per corpus."""
@@ -235,43 +349,52 @@ def fitted(rows: int = SAMPLE_ROWS) -> Model:
     model = Model()
     sample = labelled(rows, seed=11)
     held = labelled(rows // 4, seed=12)
-    counts: dict[str, int] = {}
-    for t, _ in sample:
-        for w in set(_WORD.findall(plain(t))):
-            counts[w.lower()] = counts.get(w.lower(), 0) + 1
-    model.frequent = frozenset(w for w, n in counts.items() if n >= max(3, FREQUENT * len(sample)))
+    least = max(3, FREQUENT * len(sample))
+    counts, ordinary = Counter(), Counter()
+    for t, gold in sample:
+        counts.update({w.lower() for w in _WORD.findall(plain(t))})
+        ordinary.update({m.group().lower() for m in _WORD.finditer(plain(t)) if not any(a < m.end() and m.start() < b for a, b, _ in gold)})
+    known = frozenset(w for w, n in counts.items() if n >= least)  # as in a corpus in which some names are frequent
+    fewer = frozenset(w for w in known if zlib.crc32(w.encode()) % 2)  # as in one with words that the sample doesn't have
+    model.frequent = frozenset(w for w, n in ordinary.items() if n >= least)
 
     def spread(part):
         out = []
         for t, gold in part:
-            t = plain(t)
-            for s, e, k in candidates(t, model.frequent):
-                hit = any(k == g and (s, e) == (a, b) for a, b, g in gold) if k == "name" else any(k == g and s < b and a < e and min(e, b) - max(s, a) >= 0.6 * (b - a) for a, b, g in gold)
-                out.append((t, s, e, k, hit))
+            x = _Text(plain(t), fewer if zlib.crc32(t.encode()) % 8 < 2 else known)
+            out += [(x, s, e, k, _hit(s, e, k, gold)) for s, e, k in _candidates(x)]
         return out
 
     data = spread(sample)
-    half = [d for i, d in enumerate(data) if i % 2 == 0]
+    half = data[: len(data) // 2]
     model.rates, model.prior = _cue_rates(half)  # cues from one half, trees from the other, so that the trees don't trust them too much
-    rest = [d for i, d in enumerate(data) if i % 2]
-    x = np.asarray([features(t, s, e, k, model) for t, s, e, k, _ in rest], dtype=float)
-    model.trees.fit(x, np.asarray([float(d[4]) for d in rest]))
+    blind = copy.copy(model)  # for half of the texts the words around a candidate are unknown, as those of another corpus are
+    blind.rates = {key: r for key, r in model.rates.items() if key[0] not in _WORD_CUES}
     check = spread(held)
-    p = model.trees.probability(np.asarray([features(t, s, e, k, model) for t, s, e, k, _ in check], dtype=float))
-    for kind in KINDS:
-        mine = [(q, d[4]) for q, d in zip(p, check, strict=True) if d[3] == kind]
-        best = (-1.0, 0.5)
-        for c in np.linspace(0.2, 0.8, 25):
-            tp = sum(y for q, y in mine if q >= c)
-            fp = sum(not y for q, y in mine if q >= c)
-            fn = sum(y for q, y in mine if q < c)
-            f1 = 2 * tp / max(1, 2 * tp + fp + fn)
-            if f1 > best[0] + 1e-9 or abs(f1 - best[0]) < 1e-9 and abs(c - 0.5) < abs(best[1] - 0.5):
-                best = (f1, float(c))
-        model.thresholds[kind] = best[1]
+    for family, features in _FEATURES.items():
+        mine = [d for d in data[len(half) :] if FAMILY[d[3]] == family]
+        rows_of = lambda part: np.asarray([features(*d[:4], blind if zlib.crc32(d[0].t.encode()) % 2 else model) for d in part], dtype=float)
+        model.trees[family] = BoostedTrees().fit(rows_of(mine), np.asarray([float(d[4]) for d in mine]))
+        kept = [d for d in check if FAMILY[d[3]] == family]
+        p = model.trees[family].probability(rows_of(kept))
+        for kind in (k for k in KINDS if FAMILY[k] == family):
+            model.thresholds[kind] = _threshold([(q, d[4]) for q, d in zip(p, kept, strict=True) if d[3] == kind])
     return model
 
 
+def _threshold(judged: list[tuple[float, bool]]) -> float:
+    """The probability from which on candidates are selected: the best F1 on held-out rows, of equal ones the nearest to a half."""
+    best = (-1.0, 0.5)
+    for c in np.linspace(0.2, 0.8, 25):
+        tp = sum(y for q, y in judged if q >= c)
+        fp = sum(not y for q, y in judged if q >= c)
+        fn = sum(y for q, y in judged if q < c)
+        f1 = 2 * tp / max(1, 2 * tp + fp + fn)
+        if f1 > best[0] + 1e-9 or abs(f1 - best[0]) < 1e-9 and abs(c - 0.5) < abs(best[1] - 0.5):
+            best = (f1, float(c))
+    return best[1]
+
+
 # ---- over tables ------------------------------------------------------------------------------------------------------------------------
 def frequent_words(texts: DataFrame, share: float = FREQUENT) -> frozenset[str]:
     """Words (lower case) that stand in at least this share of all texts (column text). Counted over all texts; what reaches the driver has at most (mean words of a text) / share entries."""
@@ -281,54 +404,59 @@ def frequent_words(texts: DataFrame, share: float = FREQUENT) -> frozenset[str]:
     return frozenset(r.w for r in rows)
 
 
-def _spans(values: list, model: Model) -> list[tuple[str, list]]:
-    texts = []
-    for v in values:
-        garbled, restored, _ = examine(v) if isinstance(v, str) else (False, None, None)
-        texts.append(restored if garbled and restored else v if isinstance(v, str) else "")
-    return list(zip(texts, model.judge([plain(t) for t in texts]), strict=True))
+def _spans(texts: list[str], model: Model, kinds: tuple[str, ...]) -> list[list[tuple[int, int, str]]]:
+    """Spans of the items in texts as delivered, (start, end, kind). A garbled text is judged as restored, and its spans are those of the restored characters."""
+    restored, places = [], []
+    for v in texts:
+        r, p = restored_places(v) if not v.isascii() or "\x1b$" in v else (v, None)
+        restored.append(plain(r))
+        places.append(p)
+    return [[(s, e, k) if p is None else (p[s][0], p[e - 1][1], k) for s, e, k, _ in spans] for spans, p in zip(model.judge(restored, kinds), places, strict=True)]
 
 
-#: Texts that can hold an item: all that are not blank, since names and spelt-out addresses also stand in small letters alone.
-HINT = r"\S"
+#: Texts of at most so many characters are remembered with their result, and at most so many of them; then the memory starts anew, which changes no result.
+REMEMBERED_CHARS, MEMORY = 500, 50_000
 
 
-def kinds_found(text: Column, frequent: frozenset[str], rows: int = SAMPLE_ROWS) -> Column:
-    """array<string> of the kinds that occur in a text."""
-    model = fitted(rows)
-    import copy
+def _judge_each(texts: pd.Series, known: dict, model: Model, kinds: tuple[str, ...], result, null=None) -> list:
+    """result(text, spans) of each text, null for nulls; every distinct text of a task is judged once as long as the memory holds it."""
+    values = texts.tolist()
+    new = list({v for v in values if isinstance(v, str) and v not in known})
+    got = {v: result(v, spans) for v, spans in zip(new, _spans(new, model, kinds), strict=True)}
+    out = [got[v] if v in got else known.get(v) if isinstance(v, str) else null for v in values]
+    if len(known) > MEMORY:
+        known.clear()
+    known.update((v, x) for v, x in got.items() if len(v) <= REMEMBERED_CHARS)
+    return out
 
-    model = copy.copy(model)
-    model.frequent = model.frequent | frequent
+
+def kinds_found(text: Column, frequent: frozenset[str], kinds: tuple[str, ...] = KINDS, rows: int = SAMPLE_ROWS) -> Column:
+    """array<string> of those of the kinds that occur in a text; none for null."""
+    model = fitted(rows).with_frequent(frequent)
+    known: dict = {}
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
-        codes, values = pd.factorize(texts)
-        got = [sorted({k for _, _, k, _ in spans}) for _, spans in _spans(list(values), model)] + [[]]
-        return pd.Series([got[c] for c in codes], dtype=object)
+        return pd.Series(_judge_each(texts, known, model, kinds, lambda _, spans: sorted({k for _, _, k in spans}), []), dtype=object)
 
     return run(text)
 
 
-def replaced(text: Column, frequent: frozenset[str], kinds: tuple[str, ...] = KINDS, rows: int = SAMPLE_ROWS) -> Column:
-    """text with each item of the kinds replaced by its placeholder."""
-    import copy
+def _put_placeholders(text: str, spans: list[tuple[int, int, str]]) -> str:
+    out, last = [], 0
+    for s, e, k in spans:
+        out += [text[last:s], PLACEHOLDER.format(k.upper())]
+        last = max(e, last)
+    return "".join([*out, text[last:]])
 
-    model = copy.copy(fitted(rows))
-    model.frequent = model.frequent | frequent
+
+def replaced(text: Column, frequent: frozenset[str], kinds: tuple[str, ...] = KINDS, rows: int = SAMPLE_ROWS) -> Column:
+    """text with each item of the kinds replaced by its placeholder, the rest as it was delivered."""
+    model = fitted(rows).with_frequent(frequent)
+    known: dict = {}
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        codes, values = pd.factorize(texts)
-        done = []
-        for v, (t, spans) in zip(values, _spans(list(values), model), strict=True):
-            spans = [x for x in spans if x[2] in kinds]
-            out, last = [], 0
-            for s, e, k, _ in spans:
-                out += [t[last:s], PLACEHOLDER.format(k.upper())]
-                last = e
-            done.append("".join([*out, t[last:]]) if spans else v)
-        done.append(None)
-        return pd.Series([done[c] for c in codes], dtype=object)
+        return pd.Series(_judge_each(texts, known, model, kinds, _put_placeholders), dtype=object)
 
     return run(text)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm import personal as P
@@ -14,37 +17,25 @@ R = Registry()
 FIELDS = (("student_scores", "record_id", "teacher_note", ()), ("student_scores", "record_id", "name", ("name",)), ("customer_list", "list_id", "email", ()))
 
 
-def _texts(spark, sf_dir, tbl, key, field):
-    t = table(spark, sf_dir, tbl).select(key, field)
-    return t, P.frequent_words(t.select(F.col(field).alias("text")))
-
-
-def _worth(field):
-    return F.col(field).rlike(P.HINT)
+def _each(spark, sf_dir, judge) -> DataFrame:
+    """judge(text, frequent words, kinds) of each field: tbl, row_key, field, x. Word frequencies are counted where names are looked for."""
+    parts = []
+    for tbl, key, field, without in FIELDS:
+        t = table(spark, sf_dir, tbl).select(key, field)
+        frequent = frozenset() if "name" in without else P.frequent_words(t.select(F.col(field).alias("text")))
+        kinds = tuple(k for k in P.KINDS if k not in without)
+        parts.append(widen(t).select(F.lit(tbl).alias("tbl"), F.col(key).alias("row_key"), F.lit(field).alias("field"), judge(F.col(field), frequent, kinds).alias("x")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @R.add("p3_found")
 def p3_found(spark, sf_dir):
-    out = None
-    for tbl, key, field, without in FIELDS:
-        t, frequent = _texts(spark, sf_dir, tbl, key, field)
-        x = widen(t.filter(_worth(field)).distinct()).select(F.col(key).alias("row_key"), F.explode(P.kinds_found(F.col(field), frequent)).alias("kind"))
-        x = x.filter(~F.col("kind").isin(*without)) if without else x
-        x = x.select(F.lit(tbl).alias("tbl"), "row_key", F.lit(field).alias("field"), "kind")
-        out = x if out is None else out.unionByName(x)
-    return out.distinct()
+    return _each(spark, sf_dir, P.kinds_found).select("tbl", "row_key", "field", F.explode("x").alias("kind")).distinct()
 
 
 @R.add("p3_redacted")
 def p3_redacted(spark, sf_dir):
-    out = None
-    for tbl, key, field, without in FIELDS:
-        t, frequent = _texts(spark, sf_dir, tbl, key, field)
-        kinds = tuple(k for k in P.KINDS if k not in without)
-        done = F.when(_worth(field), P.replaced(F.when(_worth(field), F.col(field)), frequent, kinds)).otherwise(F.col(field))
-        x = widen(t.distinct()).select(F.lit(tbl).alias("tbl"), F.col(key).alias("row_key"), F.lit(field).alias("field"), done.alias("text"))
-        out = x if out is None else out.unionByName(x)
-    return out
+    return _each(spark, sf_dir, P.replaced).withColumnRenamed("x", "text").distinct()
 
 
 @R.add("p3_kind_report")
