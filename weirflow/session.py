@@ -53,7 +53,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+#: widen moves at most so many bytes for each core.
+WIDEN_BYTES = 32 << 20
+
+
 def widen(df: DataFrame) -> DataFrame:
-    """Spread df over all cores if its scan has fewer partitions than there are cores (small files); else df as it is."""
+    """Spread a small scan over all cores if it has fewer partitions than half of them (small files, which can't be split); else df as it is. A scan of more than WIDEN_BYTES a core is never moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if 2 * df.rdd.getNumPartitions() >= cores:
+        return df
+    octets = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if octets <= WIDEN_BYTES * cores else df
