@@ -62,5 +62,5 @@ def widen(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if 2 * df.rdd.getNumPartitions() >= cores:
         return df
-    octets = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    octets = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if octets <= WIDEN_BYTES * cores else df
