@@ -66,8 +66,19 @@ class BoostedTrees:
             at = np.where(inner, np.where(go, 2 * at + 1, 2 * at + 2), at)
         return value[at]
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        score = np.full(len(x), self.base)
-        for tree in self.forest:
-            score = score + self._apply(x, tree)
-        return 1 / (1 + np.exp(-score))
+    def probability(self, x: np.ndarray, block: int = 1024) -> np.ndarray:
+        """Of each row, all trees at once, in blocks of rows that fit the processor's cache."""
+        feature, limit, value = (np.stack(part) for part in zip(*self.forest, strict=True))
+        size, roots = feature.shape[1], np.arange(len(feature)) * feature.shape[1]
+        goes, feature, limit, value = (feature >= 0).ravel(), np.maximum(feature, 0).ravel(), limit.ravel(), value.ravel()
+        out = np.empty(len(x))
+        for a in range(0, len(x), block):
+            part = np.ascontiguousarray(x[a : a + block])
+            rows = (np.arange(len(part)) * x.shape[1])[:, None]
+            flat, at = part.ravel(), np.zeros((len(part), len(roots)), dtype=np.int64) + roots
+            for _ in range(self.depth):
+                here = at - roots
+                step = 2 * here + np.where(flat[rows + feature[at]] <= limit[at], 1, 2)
+                at = np.where(goes[at], roots + np.minimum(step, size - 1), at)
+            out[a : a + block] = value[at].sum(axis=1)
+        return 1 / (1 + np.exp(-(self.base + out)))

@@ -12,8 +12,10 @@ from __future__ import annotations
 import copy
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -64,8 +66,9 @@ THINGS = frozenset(
     "centre center company trust day week month monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december hall tower press journal edition series project programme program museums trip english french german spanish maths math science history".split())
 #: Signs that join a word to what stands before or after it: parts of addresses, names of files and numbers are no names in small letters.
 _JOINED, _JOINED_AFTER = "@._/#+0123456789", ("@", "_", "/", "#", "+", *"0123456789")
-_STOP = re.compile(r"(?:^|[.!?。！？:;/•|\n\"“»(]|(?:^|\s)[-–—])\s*$")
-_MARKS = dict.fromkeys(range(0x300, 0x370))
+#: Signs after which a sentence or an item of a list starts.
+_STOPS = frozenset(".!?。！？:;/•|\"“»(「『")
+_PIECE = re.compile(r"[^\W\d_][\w'’]*|\d+|\s+|[^\w\s]+|_+")
 
 
 def plain(text: str) -> str:
@@ -74,38 +77,72 @@ def plain(text: str) -> str:
 
 
 class _Text:
-    """A plain text with what its candidates' features share: words, their frequency, and the surroundings of each place, looked at once."""
+    """A plain text with what its candidates' features share: words, pieces (words, numbers, signs, blanks), and the surroundings of each place, looked at once."""
 
-    __slots__ = ("before", "after", "frequent", "t", "words")
+    __slots__ = ("after", "before", "frequent", "pieces", "starts", "t", "words")
 
     def __init__(self, t: str, frequent: frozenset[str]) -> None:
         self.t, self.frequent = t, frequent
         self.before: dict[int, tuple] = {}
         self.after: dict[int, tuple] = {}
         self.words = [(m.start(), m.end(), m.group()) for m in _RUN.finditer(t)]
+        self.pieces: list[str] | None = None
+
+    def _piece(self, at: int) -> int:
+        """Number of the piece that at stands in; the pieces are cut when first asked for."""
+        if self.pieces is None:
+            self.pieces = _PIECE.findall(self.t)
+            self.starts = [0, *accumulate(map(len, self.pieces))]
+        return bisect_right(self.starts, at) - 1
 
     def left(self, s: int) -> tuple:
-        """Word before, signs before, whether a sentence starts here, whether a capital word stands right before, whether a URL or a word does."""
+        """Word before, signs before, whether a sentence starts here, whether a capital word stands right before, the character before."""
         got = self.before.get(s)
         if got is None:
-            near = self.t[max(0, s - 40) : s]
-            b = _BEFORE.search(near)
-            word = (b.group(1) or "").lower()
-            if word and word[-1] > "⺀":  # scripts without blanks between words
-                word = word[-1]
-            got = self.before[s] = (word, b.group(2) or "", not s or _STOP.search(near[-12:]) is not None, _MORE_LEFT.search(near[-30:]) is not None, near[-1:])
+            i, t = self._piece(s), self.t
+            pieces, part = self.pieces, t[self.starts[i] : s]
+            signs, stop, more = "", s == 0, False
+            if part:
+                word = part
+            else:
+                k = i - 1
+                more = i > 1 and pieces[k] in (" ", "-") and (pieces[i - 2][0].isupper() or "゠" <= pieces[i - 2][-1] <= "ヺ" or "一" <= pieces[i - 2][-1] <= "鿿")
+                if k >= 0 and pieces[k].isspace():
+                    stop = stop or "\n" in pieces[k]
+                    k -= 1
+                if k >= 0 and not pieces[k][0].isalnum():
+                    signs = pieces[k]
+                    stop = stop or signs[-1] in _STOPS or signs in ("-", "–", "—") and (k == 0 or pieces[k - 1].isspace())
+                    k -= 1
+                    if k >= 0 and pieces[k].isspace():
+                        k -= 1
+                stop = stop or k < 0
+                word = pieces[k] if k >= 0 and pieces[k][0].isalpha() else ""
+            word = word[-1] if word and word[-1] > "⺀" else word.lower()  # scripts without blanks between words
+            got = self.before[s] = (word, signs, stop, more, t[s - 1] if s else "")
         return got
 
     def right(self, e: int) -> tuple:
-        """Signs after, word after, whether a capital word follows, whether an honorific does, whether the text ends."""
+        """Signs after, word after, whether a capital word follows, whether an honorific does, whether the text ends, the character after."""
         got = self.after.get(e)
         if got is None:
-            near = self.t[e : e + 40]
-            a = _AFTER.match(near)
-            word = (a.group(2) or "").lower()
-            if word and word[0] > "⺀":
-                word = word[:2]
-            got = self.after[e] = (a.group(1) or "", word, _MORE_RIGHT.match(near) is not None, _HONORIFIC.match(near) is not None, not near.strip(" .)>"), near[:1])
+            i, t = self._piece(e), self.t
+            pieces, signs, word, more = self.pieces, "", "", False
+            if i < len(pieces):
+                part = t[e : self.starts[i + 1]]
+                if self.starts[i] == e:
+                    k = i
+                    more = i + 1 < len(pieces) and part in (" ", "-") and (pieces[i + 1][0].isupper() or "゠" <= pieces[i + 1][0] <= "ヺ" or "一" <= pieces[i + 1][0] <= "鿿")
+                    if not part[0].isalnum() and not part.isspace():
+                        signs = part
+                        k += 1
+                    if k < len(pieces) and pieces[k].isspace():
+                        k += 1
+                    word = pieces[k] if k < len(pieces) and pieces[k][0].isalnum() else ""
+                else:
+                    word = part
+                word = word[:2] if word and word[0] > "⺀" else word.lower()
+            got = self.after[e] = (signs, word, more, _HONORIFIC.match(t, e) is not None, not t[e : e + 40].strip(" .)>"), t[e : e + 1])
         return got
 
 
@@ -114,8 +151,9 @@ def _names(x: _Text):
     words = [w for w in x.words if w[1] - w[0] - w[2].endswith(".") > 1 or w[2][0].isupper() and w[2].endswith(".")]
     small = [w for w in words if len(w[2]) > 2 and w[2][0].islower() and not (t[w[0] - 1 : w[0]] in _JOINED and w[0]) and t[w[1] : w[1] + 1] not in _JOINED_AFTER]
     rare = {w[0] for w in small if w[2].rstrip(".") not in frequent}
+    before = dict(zip([w[0] for w in x.words[1:]], x.words, strict=False))
     for s, e, w in small:
-        if s in rare or x.left(s)[0] in TITLES:
+        if s in rare or s in before and before[s][2].rstrip(".").lower() in TITLES and s - before[s][1] <= 2:
             yield s, e - w.endswith(".")
     for a, b in zip(small, small[1:], strict=False) if rare else ():
         if (a[0] in rare or b[0] in rare) and a[1] + 1 == b[0] and t[a[1]] == " ":
@@ -185,12 +223,7 @@ _AT_WORD = re.compile(r"(?i)\bat\b|\bät\b|arroba")
 _DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*(?:['’-][^\W\d_]+)*")
 
-_MORE_RIGHT = re.compile(rf"[ -](?:[A-ZÀ-ÞЀ-Я]|[゠-ヺ一-鿿])")
-_MORE_LEFT = re.compile(rf"(?:(?<!\w)[A-ZÀ-ÞЀ-Я]{_LETTER}*|[゠-ヺ一-鿿])[ -]$")
-
 # ---- features ---------------------------------------------------------------------------------------------------------------------------
-_BEFORE = re.compile(r"(?:([^\W\d_][\w'’]*)[.,]?\s*)?([^\s\w]*)\s*$")
-_AFTER = re.compile(r"([^\s\w]*)\s*([^\W_][\w'’]*)?")
 _ARTICLES = frozenset("the der die das den dem le la les el los las o a an ein eine une un una um uma".split())
 _URL_BEFORE = re.compile(r"(?:https?://|www\.)\S*$")
 _PHONE_BEFORE = re.compile(r"(?:tel|tél|tfno|phone|call|dial|text|mobil\w*|móvil|telem\w+|handy|cell|fax|ruf|whatsapp|☎|電話|携帯|連絡は|тел|звонить)\W*$")
@@ -260,6 +293,10 @@ def _name_features(x: _Text, s: int, e: int, kind: str, model: Model) -> tuple:
 _FEATURES = {"number": _number_features, "email": _email_features, "street_address": _address_features, "name": _name_features}
 
 
+#: Texts of at most so many characters are remembered with their result, and at most so many texts and candidates; then the memory starts anew, which changes no result.
+REMEMBERED_CHARS, MEMORY = 500, 100_000
+
+
 class Model:
     """Frequent words, cue rates, trees and thresholds. cue rates: how often, in the sample, a candidate of a kind with a certain neighbour (or, for names, part) is of the kind (smoothed)."""
 
@@ -269,6 +306,7 @@ class Model:
         self.prior: dict[str, float] = {}
         self.trees: dict[str, BoostedTrees] = {}
         self.thresholds: dict[str, float] = {}
+        self.known: dict[tuple, float] = {}
 
     def cue(self, side: str, kind: str, word: str) -> float:
         got = self.rates.get((side, kind, word))
@@ -277,26 +315,50 @@ class Model:
     def with_frequent(self, words: frozenset[str]) -> Model:
         """The model for a corpus in which these words are frequent."""
         m = copy.copy(self)
-        m.frequent = self.frequent | words
+        m.frequent, m.known = self.frequent | words, {}
         return m
 
     def judge(self, texts: list[str], kinds: tuple[str, ...] = KINDS) -> list[list[tuple[int, int, str, float]]]:
         """Selected spans of plain texts: (start, end, kind, probability), not overlapping, ordered."""
         rows: dict[str, list[tuple]] = {f: [] for f in _FEATURES}
         owners: dict[str, list[tuple]] = {f: [] for f in _FEATURES}
+        chosen: dict[int, list] = {}
+        known, asked = self.known, {}
+        if len(known) > MEMORY:
+            known.clear()
+
+        def choose(i: int, s: int, e: int, k: str, q: float) -> None:
+            if q >= self.thresholds[k]:
+                chosen.setdefault(i, []).append((s, e, k, q))
+
         for i, t in enumerate(texts):
             x = _Text(t, self.frequent)
             for s, e, k in _candidates(x, kinds):
                 f = FAMILY[k]
+                if k == "name":  # judged by its words and its surroundings alone, which recur
+                    key = (t[s:e], x.left(s), x.right(e))
+                    if key in known:
+                        choose(i, s, e, k, known[key])
+                        continue
+                    same = asked.setdefault(key, [])
+                    same.append((i, s, e))
+                    if len(same) > 1:
+                        continue
+                    i_or_key = key
+                else:
+                    i_or_key = i
                 rows[f].append(_FEATURES[f](x, s, e, k, self))
-                owners[f].append((i, s, e, k))
+                owners[f].append((i_or_key, s, e, k))
         out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
-        chosen: dict[int, list] = {}
         for f, mine in rows.items():
             if mine:
                 for (i, s, e, k), q in zip(owners[f], self.trees[f].probability(np.asarray(mine, dtype=float)).tolist(), strict=True):
-                    if q >= self.thresholds[k]:
-                        chosen.setdefault(i, []).append((s, e, k, q))
+                    if k == "name":
+                        known[i] = q
+                        for place in asked[i]:
+                            choose(*place, k, q)
+                    else:
+                        choose(i, s, e, k, q)
         for i, spans in chosen.items():
             taken: list[tuple[int, int, str, float]] = []
             for x in sorted(spans, key=lambda x: (-(x[3] + 0.02 * (x[1] - x[0]) ** 0.5 + (0.3 if x[2] in ("email", "street_address") else 0)), x[0])):
@@ -414,10 +476,6 @@ def _spans(texts: list[str], model: Model, kinds: tuple[str, ...]) -> list[list[
     return [[(s, e, k) if p is None else (p[s][0], p[e - 1][1], k) for s, e, k, _ in spans] for spans, p in zip(model.judge(restored, kinds), places, strict=True)]
 
 
-#: Texts of at most so many characters are remembered with their result, and at most so many of them; then the memory starts anew, which changes no result.
-REMEMBERED_CHARS, MEMORY = 500, 50_000
-
-
 def _judge_each(texts: pd.Series, known: dict, model: Model, kinds: tuple[str, ...], result, null=None) -> list:
     """result(text, spans) of each text, null for nulls; every distinct text of a task is judged once as long as the memory holds it."""
     values = texts.tolist()
