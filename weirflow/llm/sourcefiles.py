@@ -21,12 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.session import cut
+
 #: Tokens in a k-gram, k-grams in a window: any copied run of K + WINDOW - 1 tokens shares a fingerprint.
 K, WINDOW = 28, 8
 #: Workspaces in which a fingerprint recurs, and the share of recurring fingerprints that makes a copy.
 WORKSPACES, SHARE = 3, 0.5
-#: Salts by which the rows of one fingerprint are spread.
-SALTS = 8
+#: Fingerprints of 8 bytes that are broadcast at most; salts by which the rows of one are spread where there are more.
+BROADCAST_PRINTS, SALTS = 1_000_000, 32
 
 _COMMENT = re.compile(r"/\*[\s\S]*?\*/|(?m:^\s*(?://|#(?!!|include|define|if|endif|else)|--|\*).*$)|\"\"\"[\s\S]*?\"\"\"|<!--[\s\S]*?-->")
 _TOKENS = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\s\w]")
@@ -49,6 +51,9 @@ _SNAPSHOT = re.compile(r"(?m)^exports\[`[\s\S]*?`\]\s*=\s*`|^// (?:Jest|Vitest)
 #: Literals and the keys before them; a line of which nothing but punctuation is left without them is data.
 _STRIP = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|(?<![\w.])[-+]?\d[\w.+-]*|\b(?:true|false|null|none|nil)\b|\b\w+(?=\s*(?::|=>))", re.I)
 _CODE_LEFT = re.compile(r"[^\[\](){},;:=>\s]")
+_CALL = re.compile(r"[\w)\]]\s*\(|=>|\breturn\b|;")
+_KEYED = re.compile(r"^\s*[\"']?[\w.-]+[\"']?\s*(?::|=)\s*[^{\[]*$")
+_NUMBERED = re.compile(r"[A-Za-z_]\d+\b")
 _RECORD = re.compile(r"^\s*[{(\[].*[})\]]\s*,?\s*$")
 _LICENCE = re.compile(r"(?i)\b(?:licen[cs]ed? under|released under|MIT licen[cs]e|BSD|apache licen[cs]e|\(c\)|copyright)")
 _BANNER = re.compile(r"(?i)^\s*(?:/\*!|/\*\*?|//|#)\s*[@\w./-]+\s+v?\d+\.\d+\.\d+")
@@ -96,7 +101,7 @@ def evidence(path: str | None, text: str | None) -> str | None:
         return "snapshot"
     lines = [x for x in text.split("\n") if x.strip()]
     size = sum(map(len, lines))
-    blanks = len(re.findall(r"\s", text)) - text.count("\n")
+    blanks = len(text) - sum(map(len, text.split())) - text.count("\n")
     dense = sum(len(x) for x in lines if len(x) >= 200)
     if dense >= 0.7 * size and blanks < 0.14 * size and size >= 300 and not _pem_only(lines):
         return "minified"
@@ -119,10 +124,17 @@ def _is_data(path: str | None, text: str, lines: list[str]) -> bool:
     if re.search(r"(?i)\.(?:csv|tsv)$", path or ""):
         return len(lines) >= 10
     body = [x for x in lines if not _HEAD.match(x)]
-    literal = [x for x in body if not _CODE_LEFT.search(_STRIP.sub("", x)) or _RECORD.match(x) and not re.search(r"[\w)\]]\s*\(|=>|\breturn\b|;", x)]
-    if len(body) < 6 or len(literal) < 0.85 * len(body):
+    literal, other = [], 0.15 * len(body)  # so many lines of another kind are one too many at most
+    for x in body:
+        if not _CODE_LEFT.search(_STRIP.sub("", x)) or _RECORD.match(x) and not _CALL.search(x):
+            literal.append(x)
+        else:
+            other -= 1
+            if other < -1e-9:
+                return False
+    if len(body) < 6:
         return False
-    keyed = sum(bool(re.match(r"^\s*[\"']?[\w.-]+[\"']?\s*(?::|=)\s*[^{\[]*$", x)) for x in literal)
+    keyed = sum(_KEYED.match(x) is not None for x in literal)
     if keyed > 0.5 * len(literal):  # settings: one named value a line
         return False
     amount = sum(map(len, literal))
@@ -137,8 +149,15 @@ def _is_repeated(path: str | None, lines: list[str]) -> bool:
     if _SETTINGS.search(path or "") or (path or "").endswith(".json"):
         return False
     body = [x.strip() for x in lines if not _HEAD.match(x)]
-    numbered = [x for x in body if re.search(r"[A-Za-z_]\d+\b", x)]
-    if len(numbered) < 8 or len(numbered) < 0.6 * len(body):
+    numbered, other = [], 0.4 * len(body)
+    for x in body:
+        if _NUMBERED.search(x):
+            numbered.append(x)
+        else:
+            other -= 1
+            if other < -1e-9:
+                return False
+    if len(numbered) < 8:
         return False
     top = Counter(map(shape, numbered)).most_common(3)
     return sum(n for _, n in top) >= 0.8 * len(numbered)
@@ -158,17 +177,50 @@ def fingerprints(text: str | None, k: int = K, window: int = WINDOW) -> list[int
     n = len(tokens) - k + 1
     if n < 1:
         return []
-    ids: dict[str, int] = {}
-    values = np.fromiter((ids[t] if t in ids else ids.setdefault(t, zlib.crc32(t.encode()) + 1) for t in tokens), dtype=np.uint64, count=len(tokens))
-    values = _mix(values * np.uint64(0x9E3779B97F4A7C15))
-    grams = np.zeros(n, dtype=np.uint64)
-    for i in range(k):
-        grams = grams * np.uint64(0x100000001B3) + values[i : i + n]
-    grams = _mix(grams)
-    picked = np.lib.stride_tricks.sliding_window_view(grams, window).min(axis=1) if n >= window else np.array([grams.min()])
+    if len(_NUMBERS) > MEMORY:
+        _NUMBERS.clear()
+    values = _mix(np.fromiter(map(_NUMBERS.__getitem__, tokens), dtype=np.uint64, count=len(tokens)) * np.uint64(0x9E3779B97F4A7C15))
+    grams = _mix(_sums(values, k))
+    width = min(window, n)
+    picked = grams
+    while width > 1:  # least of width neighbours, from those of half as many
+        half = width // 2
+        picked, width = np.minimum(picked[:-half], picked[half:]), width - half
     return np.unique(picked).astype(np.int64).tolist()
 
 
+class _Numbers(dict):
+    """A number for each token; tokens recur, so it is computed once a worker."""
+
+    def __missing__(self, token: str) -> int:
+        got = self[token] = zlib.crc32(token.encode()) + 1
+        return got
+
+
+#: Tokens whose numbers are kept; when full, the memory starts anew, which changes no result.
+MEMORY = 500_000
+_NUMBERS = _Numbers()
+_BASE = 0x100000001B3
+
+
+def _sums(values: np.ndarray, k: int) -> np.ndarray:
+    """The polynomial hash of every k neighbours, put together from those of powers of two."""
+    out, size, part, length = None, 0, values, 1
+    while True:
+        if k & length:
+            if out is None:
+                out, size = part, length
+            else:  # the shorter one goes before
+                n = len(values) - size - length + 1
+                out, size = out[:n] * np.uint64(pow(_BASE, length, 1 << 64)) + part[size : size + n], size + length
+        power = 2 * length
+        if power > k:
+            return out
+        n = len(values) - power + 1
+        part, length = part[:n] * np.uint64(pow(_BASE, length, 1 << 64)) + part[length : length + n], power
+
+
+
 def examined(files: DataFrame) -> DataFrame:
     """Files with content: file_id, workspace, kind (of evidence), prints."""
 
@@ -181,12 +233,17 @@ def examined(files: DataFrame) -> DataFrame:
 
 
 def copies(seen: DataFrame, workspaces: int = WORKSPACES) -> DataFrame:
-    """Share of recurring fingerprints of each file that has any: file_id, recurring, prints. Fingerprints are combined per workspace before they are counted, and hot ones are spread by salts."""
-    long = seen.select("file_id", "workspace", F.explode("prints").alias("print"))
-    recurring = long.select("print", "workspace").distinct().groupBy("print").agg(F.count("*").alias("n")).filter(F.col("n") >= workspaces)
-    salted = recurring.select("print", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hits = long.withColumn("salt", F.pmod(F.hash("file_id"), F.lit(SALTS))).join(salted, ["print", "salt"], "left_semi").groupBy("file_id").agg(F.count("*").alias("hits"))
-    return hits.join(seen.select("file_id", F.size("prints").alias("prints")), "file_id").select("file_id", (F.col("hits") / F.col("prints")).alias("recurring"), "prints")
+    """Share of recurring fingerprints of each file that has any: file_id, recurring, prints.
+
+    Only hashes are shuffled; they are combined per workspace before they are counted. The recurring ones are broadcast if a count proves that they are at most BROADCAST_PRINTS, else hot ones are spread by salts."""
+    long = seen.select("file_id", F.size("prints").alias("prints"), F.xxhash64("workspace").alias("ws"), F.explode("prints").alias("print"))
+    recurring = cut(long.select("print", "ws").distinct().groupBy("print").agg(F.count("*").alias("n")).filter(F.col("n") >= workspaces).select("print"))
+    if recurring.limit(BROADCAST_PRINTS + 1).count() <= BROADCAST_PRINTS:
+        hits = long.join(F.broadcast(recurring), "print", "left_semi")
+    else:
+        salted = recurring.select("print", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        hits = long.withColumn("salt", F.pmod(F.hash("file_id"), F.lit(SALTS))).join(salted, ["print", "salt"], "left_semi")
+    return hits.groupBy("file_id", "prints").agg(F.count("*").alias("hits")).select("file_id", (F.col("hits") / F.col("prints")).alias("recurring"), "prints")
 
 
 def not_handwritten(seen: DataFrame, workspaces: int = WORKSPACES, share: float = SHARE) -> DataFrame:
