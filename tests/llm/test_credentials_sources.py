@@ -52,6 +52,27 @@ def test_unnamed_values():
         assert C.places(line) == [], line
 
 
+def test_the_gate_lets_through_all_that_spans_finds(spark):
+    import re
+
+    p = "Xk39dLq2mZ7t"
+    basic = base64.b64encode(f"svc:{p}".encode()).decode()
+    texts = [f"DEPLOY_PAT={p}", f"open {'r'}k_{value(20)} now", f'f("{basic[:8]}" +\n  "{basic[8:]}")', f'f("AKI" +\n "A{value(16, string.ascii_uppercase + string.digits)[:13]}Q7Z")', f"x://u:{p}@h.test", f"-u svc:{p}", f"pwd: {p}", f"<cred>{p}</cred>", f"my.key = {p}"]
+    texts += [f"{name}{sep}{p}" for name in ("passphrase", "PWD", "client_secret", "authToken", "bearer", "app.key", "MyPass", "deploy-pat", "storageKey", "credential") for sep in ("=", ": ", " => ")]
+    found = [t for t in texts if C.spans(t)]
+    assert len(found) >= len(texts) - 3, [t for t in texts if t not in found]
+    assert [t for t in found if not re.search(C.GATE, t)] == []
+    df = spark.createDataFrame(list(enumerate(found)), "k int, t string")
+    assert {r.k for r in C.credential_lines(df, "k", "t").collect()} == set(range(len(found)))
+
+
+def test_values_beyond_the_former_bounds():
+    long = value(700)
+    assert C.places(f"url = 'amqp://{'u' * 300}:{long}@h.test/x'") == [1] and long not in C.redact(f"url = 'amqp://{'u' * 300}:{long}@h.test/x'")
+    assert C.places(f'const token = "{value(260)}" +\n  "{value(30)}";') == [1]
+    assert C.places("password = '" + "correct horse2battery_staple".replace(" ", "-") * 9 + "'") == [1]
+
+
 def test_blocks_pieces_and_encodings():
     body = "\n".join(value(64) for _ in range(4))
     block = f"a\n-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----\nb"

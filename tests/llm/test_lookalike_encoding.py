@@ -78,3 +78,23 @@ def test_part_of_a_token(text):
     garbled = re.sub(r"\{(.*)\}", lambda m: E._garble(m[1].encode(), "cp1252"), text)
     assert E.examine(garbled)[1] == text.replace("{", "").replace("}", "")
     assert E.examine(garbled)[0] == ("{" in text)
+
+
+def test_only_the_matched_spans_are_replaced():
+    from weirflow.llm import encoding as E
+
+    for garbled, right in (("café and naÃ¯veté", "café and naïveté"), ("brûlÃ©e", "brûlée"), ("今日はÃ©tÃ©です", "今日はétéです"), ("ÃƒÂ©tÃƒÂ©", "été")):
+        assert E.examine(garbled)[:2] == (True, right)
+        text, places = E.restored_places(garbled)
+        assert text == right and len(places) == len(right) and places[0][0] == 0 and places[-1][1] == len(garbled)
+    for plain in ("Café Zürich", "naïveté, brûlée", "Ærøskøbing", "今日は", "Москва"):
+        assert E.examine(plain)[0] is False and E.restored_places(plain) == (plain, None)
+
+
+def test_text_misread_many_times_is_restored():
+    from weirflow.llm import encoding as E
+
+    t = "Grüße aus Köln"
+    for _ in range(4):
+        t = t.encode("utf-8").decode("latin-1")
+    assert E.examine(t)[1] == "Grüße aus Köln"

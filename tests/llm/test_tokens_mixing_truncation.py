@@ -93,3 +93,15 @@ def test_cut_lines_in_a_large_corpus(spark):
     cut = [(1000 + i, body() + "\nsrc/", "logs") for i in range(7)] + [(1010 + i, same + "\nsr", "logs") for i in range(9)] + [(1020 + i, body() + '\n{"ty', "logs") for i in range(6)]
     df = spark.createDataFrame(whole + cut, "doc_id long, text string, source string")
     assert {x.doc_id for x in C.judged(df).collect() if x.cut} == {i for i, _, _ in cut}
+
+
+def test_long_lines_and_words_count(spark):
+    """Lines beyond 400 characters and words beyond 40 letters are known like all others."""
+    r = random.Random(9)
+    long_line, long_word = "field " * 90 + "end mark", "donaudampfschifffahrtselektrizitaetenhauptbetriebswerk"
+    assert len(long_line) > 400 and len(long_word) > 45
+    body = lambda: "\n".join(f"row {r.randint(1, 9999)} was read by station {r.randint(1, 99)}." for _ in range(4))
+    whole = [(i, body() + "\n" + long_line + ("\n" if i % 2 else ""), "a") for i in range(12)] + [(100 + i, f"The {long_word} is open.\n" + body(), "a") for i in range(4)]
+    cut = [(1000, body() + "\nWe saw the " + long_word[:44], "a")]
+    df = spark.createDataFrame(whole + cut, "doc_id long, text string, source string")
+    assert {x.doc_id for x in C.judged(df).collect() if x.cut} == {1000}

@@ -30,6 +30,9 @@ WORDS, MIXED_CASE, ONE_CASE = 0.4, 0.35, 0.2
 #: Hexadecimal digits of usual hashes.
 _HASH_LENGTHS = (32, 40, 56, 64, 96, 128)
 
+#: Characters before the first piece of a split value in which its name is looked for.
+LEAD = 2_000
+
 _NAME = (
     r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[-_. ]?key|apikey|auth(?:[-_. ]?(?:token|key))?|authtoken|bearer|"
     r"(?:access|signing|private|secret|account|storage|master|encryption|license|deploy|service|ledger|client|admin|root|webhook|session|shared|api)[-_. ]?(?:key|secret|pass|token)|pat)"
@@ -50,7 +53,7 @@ _FORMS = [
     ("annotated", re.compile(rf"@\w+\(\s*{_QUOTED}\s*\)\s+(?:[\w<>]+\s+)+{_KEY}\b", re.I)),
     ("remark", re.compile(rf"{_QUOTED}\s*[;,)]*\s*(?://|#|/\*|--)\s*{_KEY}\b", re.I)),
 ]
-_URL = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,30}://(?P<user>[^\s:/@\"'`<>]{0,200}):(?P<bare>[^\s/\"'`<>@][^\s\"'`<>]{0,500}?)@(?=[\w.\[-])", re.I)
+_URL = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*+://(?P<user>[^\s:/@\"'`<>]*+):(?P<bare>[^\s/\"'`<>@][^\s\"'`<>]*?)@(?=[\w.\[-])", re.I)
 _QUERY = re.compile(rf"[?&;]{_KEY}=(?P<bare>[^\s&\"'`<>#)]+(?:#[\w!?]+)?)", re.I)
 _HEADER = re.compile(r"\b(?:Basic|Bearer|Token|ApiKey|Digest)\s+(?P<bare>[^\s\"'`<>,;]{6,})")
 _USER = re.compile(r"(?:^|\s)(?:-u|--user)[\s=]+[\"']?[\w.@-]+:(?P<bare>[^\s\"']+)")
@@ -66,7 +69,7 @@ _TOKEN = re.compile(r"(?<![A-Za-z0-9+/=_-])(?:[A-Za-z0-9+/_-]{16,}={0,2})(?![A-Z
 _STRING = re.compile(_QUOTED)
 #: A line of nothing but a literal: beside another one it is part of a block of data.
 _LITERAL_LINE = re.compile(r"[\s\[({]*(?:[\"'`][A-Za-z0-9+/=_-]{30,}[\"'`]|[A-Za-z0-9+/=_-]{30,})[\s,;+\\.)\]}]*")
-_PIECES = re.compile(r"(?P<q>[\"'`])(?P<first>[^\"'`\n]{4,200})(?P=q)(?P<rest>(?:[ \t]*(?:\+|\\|\.|&|\|\|)?[ \t]*\\?\n[ \t]*(?:\+|\.|&|\|\|)?[ \t]*[\"'`][^\"'`\n]{1,}[\"'`])+)(?P<tail>[^\n]*)")
+_PIECES = re.compile(r"(?P<q>[\"'`])(?P<first>[^\"'`\n]{4,}+)(?P=q)(?P<rest>(?:[ \t]*(?:\+|\\|\.|&|\|\|)?[ \t]*\\?\n[ \t]*(?:\+|\.|&|\|\|)?[ \t]*[\"'`][^\"'`\n]{1,}[\"'`])+)(?P<tail>[^\n]*)")
 _CONTINUED = re.compile(r"[\"'`][ \t]*(?:\+|\\|\.|&|\|\|)?[ \t]*\\?\n[ \t]*(?:\+|\.|&|\|\|)?[ \t]*[\"'`]")
 _INNER = re.compile(r"[\"'`]([^\"'`\n]+)[\"'`]")
 _NAMED_ENTRY = re.compile(rf"^[ \t]*-?[ \t]*name:[ \t]*[\"']?{_KEY}[\"']?[ \t]*\r?\n[ \t]*value:[ \t]*(?:{_QUOTED}|(?P<plain>[^\s\"']+))", re.I | re.M)
@@ -117,7 +120,7 @@ def random_like(value: str) -> bool:
 
 def password_like(value: str) -> bool:
     """A value that a person would set as a password: letters with digits, or with signs and digits; no plain word, number, path or identifier."""
-    if not 6 <= len(value) <= 128 or not re.search(r"[A-Za-z]", value) or not re.search(r"[0-9]", value) or value.count(" ") > 1:
+    if len(value) < 6 or not re.search(r"[A-Za-z]", value) or not re.search(r"[0-9]", value) or value.count(" ") > 1:
         return False
     if re.fullmatch(r"v?\d+(?:[._-]\d+)*(?:[a-z]{1,3})?|\d+(?:ms|s|m|h|d|kb|mb|gb|px|em|%)|0x[0-9a-fA-F]+|[0-9.eE+-]+", value):
         return False
@@ -261,7 +264,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
         if len(body) >= 40 and len(set(body)) > 12 and not _PLACEHOLDER.search(body) and entropy(body) > 4:
             out.append((m.start(), m.end(), "private_key"))
     for m in _PIECES.finditer(text) if _CONTINUED.search(text) else ():
-        lead = text[text.rfind("\n", 0, m.start()) + 1 : m.start()][-200:]
+        lead = text[max(text.rfind("\n", 0, m.start()) + 1, m.start() - LEAD) : m.start()]
         pieces = [(m.start("first"), m.end("first")), *((m.start("rest") + a, m.start("rest") + b) for a, b in (p.span(1) for p in _INNER.finditer(m.group("rest"))))]
         whole = "".join(text[a:b] for a, b in pieces)
         named = re.search(rf"{_KEY}[\"'`]?\]?\)?\s*(?::[^=\"']*)?(?::?=|:|,|\()\s*\(?\s*$", lead, re.I) or re.search(rf"(?://|#|/\*|--)\s*{_KEY}\b", m.group("tail"), re.I)
@@ -320,8 +323,13 @@ def redact(text: str | None) -> str | None:
     return text if not out else "".join([*out, text[last:]])
 
 
-def _gate_sql() -> str:
-    return r"(?i)pass|pwd|secret|token|credential|key|auth|bearer|BEGIN|://|AKIA|ASIA|AIza|sk-|gh[pousr]_|xox|eyJ|basic |base64|-u |mysql|[^\s\"'`]{16}"
+def _gate() -> str:
+    """A pattern, for Java and Python alike, that every text matches in which spans finds anything: the same hints, long runs, key blocks, and strings that go on after a line break."""
+    hints = "|".join(map(re.escape, [*_NAME_HINTS, *_OTHER_HINTS, "begin"]))
+    return rf"(?i){hints}|[^\s\"'`]{{16}}|[\"'`][ \t]*(?:\+|\\|\.|&|\|\|)?[ \t]*\\?\r?\n[ \t]*(?:\+|\.|&|\|\|)?[ \t]*[\"'`]"
+
+
+GATE = _gate()
 
 
 def credential_lines(df: DataFrame, key: str, field: str) -> DataFrame:
@@ -331,7 +339,7 @@ def credential_lines(df: DataFrame, key: str, field: str) -> DataFrame:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([places(t) for t in texts], dtype=object)
 
-    x = df.select(key, field).filter(F.col(field).rlike(_gate_sql()))
+    x = df.select(key, field).filter(F.col(field).rlike(GATE))
     return x.select(key, F.explode(run(F.col(field))).alias("n")).select(key, F.col("n").cast("long").alias("line_no"))
 
 
@@ -342,4 +350,4 @@ def redacted(text: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([redact(t) for t in texts], dtype=object)
 
-    return F.when(text.rlike(_gate_sql()), run(F.when(text.rlike(_gate_sql()), text))).otherwise(text)
+    return F.when(text.rlike(GATE), run(F.when(text.rlike(GATE), text))).otherwise(text)
