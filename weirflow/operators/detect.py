@@ -28,6 +28,7 @@ DETECTORS = (
 #: A plain sign of each format: what no text without it can hold, so that the pattern itself is tried on few texts.
 SIGNS = ("PRIVATE KEY-----", "AKIA", "sk-", "sk-ant-", "AIza", "gh[pousr]_", "github_pat_", "xox[baprs]-", "_live_", "eyJ", "://")
 SEVERITIES = ("critical", "high", "medium", "low")
+# Words that make a line secret-like, tokens whose entropy is measured there, and the bounds of findings.
 KEY_HINT = r"(?i)(secret|token|key|passwd|password|pwd|api[_-]?key|auth|credential)"
 LONG_TOKEN = r"[A-Za-z0-9+/=_-]{24,}"
 # Signs of personal data and of secrets in extracted documents.
@@ -40,6 +41,8 @@ DOCUMENT_FLAGS = (
     ("document-private-url", "high", r"(?i)https?://(?:localhost|127\.0\.0\.1|10\.[0-9]+\.[0-9]+\.[0-9]+|192\.168\.[0-9]+\.[0-9]+|172\.(?:1[6-9]|2[0-9]|3[01])\.[0-9]+\.[0-9]+)\b"),
 )
 CAP, TOKENS_A_LINE = 1000, 50
+#: Bits per character from which on a token counts as random.
+ENTROPY_FROM = 4.0
 
 
 def format_findings(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -57,7 +60,7 @@ def format_findings(df: DataFrame, key: str, text: str) -> DataFrame:
     return x.select(key, "detector", "category", "severity", "line", mask(F.col("value")).alias("preview"))
 
 
-def entropy_findings(df: DataFrame, key: str, text: str, threshold: float = 4.0) -> DataFrame:
+def entropy_findings(df: DataFrame, key: str, text: str, threshold: float = ENTROPY_FROM) -> DataFrame:
     """key, line, bits, preview: long tokens of high entropy on lines that speak of secrets, at most TOKENS_A_LINE a line."""
     x = line_rows(df, key, text).filter(F.col("line").rlike(KEY_HINT) & F.col("line").rlike(LONG_TOKEN))
     t = x.select(key, F.col("n").alias("line"), F.explode(F.slice(F.regexp_extract_all("line", F.lit(LONG_TOKEN), F.lit(0)), 1, TOKENS_A_LINE)).alias("value"))
@@ -139,3 +142,14 @@ def new_matches(df: DataFrame, before: str, after: str, pattern: str) -> Column:
     """Values of a pattern that stand in after and not in before."""
     all_of = lambda c: F.coalesce(F.regexp_extract_all(F.col(c), F.lit(java(pattern)), F.lit(0)), F.array().cast("array<string>"))
     return F.array_except(all_of(after), all_of(before))
+
+
+def format_values(text: Column) -> Column:
+    """array<string> of the distinct values of a text that are in a known format; none for null."""
+    t = F.coalesce(text, F.lit(""))
+    return F.array_distinct(F.concat(*(F.when(t.rlike(sign), F.regexp_extract_all(t, F.lit(java(p)), F.lit(0))).otherwise(F.array().cast("array<string>")) for (*_, p), sign in zip(DETECTORS, SIGNS, strict=True))))
+
+
+def still_there(text: Column, values: Column) -> Column:
+    """Those of the values that a text holds."""
+    return F.filter(values, lambda v: F.contains(text, v))

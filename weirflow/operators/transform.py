@@ -6,14 +6,16 @@ Null texts stay null. A redaction of a redacted text changes nothing. Replacemen
 from __future__ import annotations
 
 import json
+import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weirflow.functions.text import java
-from weirflow.operators.detect import DETECTORS, SIGNS
+from weirflow.operators.detect import DETECTORS, ENTROPY_FROM, KEY_HINT, LONG_TOKEN, SIGNS, TOKENS_A_LINE
 
 PEM = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[^-]*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"
 # Shapes of personal data in the order in which they are replaced, with their tokens.
@@ -24,8 +26,10 @@ SHAPES = (
     ("phone", r"(?:\+81[ -]?|\b0)[0-9]{1,4}[ -][0-9]{2,4}[ -][0-9]{3,4}\b", "PHONE"),
     ("passport-number", r"\b[A-Z]{2}[0-9]{7}\b", "PASSPORT"),
 )
+# Names of settings whose values are secret, names whose values are harmless, and the start of a key block, which is never harmless.
 SENSITIVE_NAME = r"(?i)(KEY|TOKEN|SECRET|PASSWORD|PASSWD|PRIVATE|CREDENTIAL|AUTH|COOKIE|SESSION|DATABASE_URL|DB_URL|CONNECTION_STRING)"
 SAFE_NAME = r"(?i)(^|_)(MODEL|PORT|DEBUG|LOG_LEVEL|NODE_ENV|APP_ENV|ENVIRONMENT|HOST|REGION|PROJECT|PROJECT_ID|APP_NAME|SERVICE_NAME|TIMEOUT|RETRIES|FEATURE_FLAG)(_|$)"
+KEY_BLOCK = "-----BEGIN [A-Z ]+PRIVATE KEY-----"
 
 
 def redacted(text: Column) -> Column:
@@ -36,6 +40,53 @@ def redacted(text: Column) -> Column:
     return F.when(text.rlike("|".join(SIGNS)), out).otherwise(text)
 
 
+def merged_spans(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans (start, end, label) in order; those that overlap or touch become one with the label of the first."""
+    out: list[tuple[int, int, str]] = []
+    for s, e, label in sorted(spans, key=lambda x: x[:2]):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e), out[-1][2])
+        else:
+            out.append((s, e, label))
+    return out
+
+
+def secret_spans(text: str, threshold: float = ENTROPY_FROM) -> list[tuple[int, int, str]]:
+    """Places of a text with a value in a known format, or a random token on a secret-like line, merged; labels are categories."""
+    spans = [(*m.span(), category) for rx, category, sign in _COMPILED if sign.search(text) for m in rx.finditer(text)]
+    at = 0
+    for line in text.split("\n"):
+        if len(line) >= 24 and _HINT.search(line):
+            for _, m in zip(range(TOKENS_A_LINE), _LONG.finditer(line), strict=False):
+                counts, n = Counter(m.group()).values(), m.end() - m.start()
+                if -sum(c / n * math.log2(c / n) for c in counts) >= threshold:
+                    spans.append((at + m.start(), at + m.end(), "high-entropy-string"))
+        at += len(line) + 1
+    return merged_spans(spans)
+
+
+_COMPILED = [(re.compile(p, re.A), category, re.compile(sign)) for (_, category, _, p), sign in zip(DETECTORS, SIGNS, strict=True)]
+_HINT, _LONG = re.compile(KEY_HINT), re.compile(LONG_TOKEN)
+
+
+def redacted_spans(text: Column) -> Column:
+    """struct<text, count>: each merged place of secret_spans replaced by a mark of its label; (null, 0) for null."""
+
+    @F.pandas_udf("text string, count int")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            spans = secret_spans(t) if isinstance(t, str) else []
+            out, last = [], 0
+            for s, e, label in spans:
+                out += [t[last:s], f"«REDACTED:{label}»"]
+                last = e
+            rows.append(("".join([*out, t[last:]]) if spans else t, len(spans)))
+        return pd.DataFrame(rows, columns=["text", "count"])
+
+    return run(text)
+
+
 def key_material_masked(text: Column) -> Column:
     return F.regexp_replace(text, PEM, "«KEY»")
 
@@ -61,7 +112,7 @@ def env_sanitised(text: Column) -> Column:
         name = F.regexp_replace(F.trim(prefix), r"^export\s+", "")
         value = F.trim(line.substr(eq + 1, F.char_length(line)))
         valid = (eq > 1) & F.regexp_like(name, F.lit("^[A-Za-z_][A-Za-z0-9_]*$")) & ~F.regexp_like(line, F.lit(r"^\s*(#|$)"))
-        safe = ~F.regexp_like(name, F.lit(SENSITIVE_NAME)) & F.regexp_like(name, F.lit(SAFE_NAME)) & (F.char_length(value) <= 256)
+        safe = ~F.regexp_like(name, F.lit(SENSITIVE_NAME)) & F.regexp_like(name, F.lit(SAFE_NAME)) & (F.char_length(value) <= 256) & ~F.regexp_like(value, F.lit(KEY_BLOCK))
         return F.when(valid & ~safe, F.concat(prefix, F.lit("=${"), name, F.lit("}"))).otherwise(line)
 
     return F.array_join(F.transform(F.split(text, r"\r?\n", -1), one), "\n")

@@ -87,28 +87,32 @@ def detect_left_after_redaction(spark, sf_dir):
     return y.select("file_id", "after_values", "before_values", F.size(D.new_matches(y, "content", "redacted", D.DETECTORS[5][3])).alias("new_values"))
 
 
+_TAILED = "SELECT row_id, raw, coalesce(lag(right(raw, 256)) OVER (PARTITION BY export_id ORDER BY row_no NULLS FIRST, row_id NULLS FIRST), '') AS tail FROM delimited_rows"
+
+
 @R.add(
     "detect_across_chunks",
-    f"WITH x AS (SELECT row_id, raw, coalesce(lag(right(raw, 256)) OVER (PARTITION BY export_id, row_no // 64 ORDER BY row_no, row_id), '') AS tail FROM delimited_rows) SELECT row_id, len(regexp_extract_all(tail || raw, {_sql(_EMAIL)})) AS with_tail, len(regexp_extract_all(raw, {_sql(_EMAIL)})) AS alone FROM x WHERE contains(raw, '@')",
+    f"SELECT row_id, len(regexp_extract_all(tail || raw, {_sql(_EMAIL)})) AS with_tail, len(regexp_extract_all(raw, {_sql(_EMAIL)})) AS alone FROM ({_TAILED}) WHERE contains(raw, '@') OR contains(tail, '@')",
 )
 def detect_across_chunks(spark, sf_dir):
-    """Matches in each chunk of a stream with the tail of the chunk before it (stretches of 64 chunks)."""
-    from pyspark.sql import Window
-
-    d = table(spark, sf_dir, "delimited_rows").select("row_id", "export_id", "row_no", "raw")
-    w = Window.partitionBy("export_id", F.expr("row_no div 64")).orderBy("row_no", "row_id")
-    x = d.withColumn("tail", F.coalesce(F.lag(F.expr("right(raw, 256)")).over(w), F.lit(""))).filter(F.contains("raw", F.lit("@")))
+    """Matches in each chunk of an export with the tail of the chunk before it, wherever that lies; an export of any length is spread over ranges. Chunks without a sign in themselves or their tail can't hold a match."""
+    d = table(spark, sf_dir, "delimited_rows").select("row_id", "export_id", "row_no", F.expr("right(raw, 256)").alias("end"), "raw")
+    x = O.previous_in_group(d, ["export_id"], ["row_no", "row_id"], "end", "tail").withColumn("tail", F.coalesce("tail", F.lit(""))).filter(F.contains("raw", F.lit("@")) | F.contains("tail", F.lit("@")))
     n = lambda c: F.regexp_count(c, F.lit(_EMAIL))
-    return x.select("row_id", n(F.concat("tail", "raw")).alias("with_tail"), n(F.col("raw")).alias("alone"))
+    return x.filter(F.col("raw").isNotNull()).select("row_id", n(F.concat("tail", "raw")).alias("with_tail"), n(F.col("raw")).alias("alone"))
 
 
-@R.add(
-    "detect_across_export",
-    f"WITH x AS (SELECT row_id, raw, coalesce(lag(right(raw, 256)) OVER (PARTITION BY export_id ORDER BY row_no NULLS FIRST, row_id NULLS FIRST), '') AS tail FROM delimited_rows) SELECT row_id, len(regexp_extract_all(tail || raw, {_sql(_EMAIL)})) AS with_tail, len(regexp_extract_all(raw, {_sql(_EMAIL)})) AS alone FROM x WHERE contains(raw, '@')",
-)
-def detect_across_export(spark, sf_dir):
-    """Matches in each chunk of an export with the tail of the chunk before it, wherever that lies; an export of any length is spread over ranges."""
-    d = table(spark, sf_dir, "delimited_rows").select("row_id", "export_id", "row_no", F.expr("right(raw, 256)").alias("end"), F.when(F.contains("raw", F.lit("@")), F.col("raw")).alias("raw"))
-    x = O.previous_in_group(d, ["export_id"], ["row_no", "row_id"], "end", "tail").filter(F.col("raw").isNotNull())
-    n = lambda c: F.regexp_count(c, F.lit(_EMAIL))
-    return x.select("row_id", n(F.concat(F.coalesce("tail", F.lit("")), "raw")).alias("with_tail"), n(F.col("raw")).alias("alone"))
+@R.add("detect_detector_summary", _FORMATS + " SELECT detector, severity, count(*) AS findings, count(DISTINCT file_id) AS files FROM hits GROUP BY ALL")
+def detect_detector_summary(spark, sf_dir):
+    per = detect_formats(spark, sf_dir).groupBy("detector", "severity", "file_id").agg(F.count("*").alias("n"))
+    return per.groupBy("detector", "severity").agg(F.sum("n").alias("findings"), F.count("*").alias("files"))
+
+
+_VALUES = "list_distinct(flatten([" + ", ".join(f"regexp_extract_all(coalesce(content, ''), {_sql(p)})" for *_, p in D.DETECTORS) + "]))"
+
+
+@R.add("detect_residue", f"WITH x AS (SELECT file_id, {_VALUES} AS vals, redacted FROM redact_results JOIN scanned_files USING (file_id) WHERE redacted IS NOT NULL) SELECT file_id, len(vals) AS known_values, len(list_filter(vals, lambda v: contains(redacted, v))) AS left_values FROM x WHERE len(vals) > 0")
+def detect_residue(spark, sf_dir):
+    """Delivered texts that still hold a value that was found in their source."""
+    x = table(spark, sf_dir, "redact_results").select("file_id", "redacted").filter("redacted is not null").join(table(spark, sf_dir, "scanned_files").select("file_id", D.format_values(F.col("content")).alias("vals")), "file_id")
+    return x.filter(F.size("vals") > 0).select("file_id", F.size("vals").cast("long").alias("known_values"), F.size(D.still_there(F.col("redacted"), F.col("vals"))).cast("long").alias("left_values"))

@@ -59,13 +59,15 @@ def p1_found(spark, sf_dir):
     _FOUND
     + """ SELECT row_id, col, column_name, value,
   CASE WHEN kind = 'int' THEN try_cast(trim(value, ' ') AS INTEGER) END AS int_value,
+  CASE WHEN kind = 'decimal' THEN try_cast(trim(value, ' ') AS DECIMAL(38, 12)) END AS decimal_value,
+  CASE WHEN kind = 'timestamp' THEN try_cast(replace(trim(value, ' ')[:19], 'T', ' ') AS TIMESTAMP) END AS timestamp_value,
   CASE WHEN kind = 'date' THEN try_cast(trim(value, ' ') AS DATE) END AS date_value,
   CASE WHEN kind = 'boolean' AND trim(value, ' ') <> '' THEN lower(trim(value, ' ')) = 'true' END AS boolean_value
 FROM judged WHERE row_id NOT IN (SELECT row_id FROM found)""",
 )
 def p1_typed_cells(spark, sf_dir):
     t = P.typed_cells(table(spark, sf_dir, "delimited_rows"), table(spark, sf_dir, "table_layout"))
-    return t.select("row_id", F.col("col").cast("long").alias("col"), "column_name", "value", "int_value", "date_value", "boolean_value")
+    return t.select("row_id", F.col("col").cast("long").alias("col"), "column_name", "value", "int_value", "decimal_value", "timestamp_value", "date_value", "boolean_value")
 
 
 @R.add(
