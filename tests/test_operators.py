@@ -192,3 +192,61 @@ def test_trees_and_decoding(spark, tmp_path):
     append_lines(spark.range(2), str(tmp_path / "out"))
     append_lines(spark.range(3), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 5
+
+
+def test_stream_goes_on_from_the_batches_before(spark):
+    from weirflow.streaming import sessions
+
+    rows = lambda ids: spark.createDataFrame([(i, i % 2, "a" if i % 3 else None, f"2026-01-01 00:00:{i:02d}", 10) for i in ids], "event_id long, user_id long, kind string, ts string, size long").fillna("", ["kind"])
+    whole = {r.event_id: r for r in sessions.numbered(rows(range(20)), spark.createDataFrame([], sessions.TOTALS)).collect()}
+    before = rows(range(12)).groupBy("user_id", "kind").agg(F.count("*").alias("n"), F.sum("size").alias("used"))
+    later = {r.event_id: r for r in sessions.numbered(rows(range(12, 20)), before).collect()}
+    assert later == {i: whole[i] for i in range(12, 20)}
+    assert [(whole[i].seq, whole[i].used, whole[i].repeats) for i in (0, 2, 6)] == [(1, 10, 0), (2, 20, 0), (4, 40, 1)]
+
+
+def test_merged_redaction(spark):
+    """Against brute force: every place of every detector by itself, then painted character by character."""
+    import re
+
+    key, rand = "sk-" + "aB3" * 12, "Zx9Qw7Er5Ty3Ui1Op0As8Df6Gh4"
+    texts = [f"a {key} b", f"token={rand} {key}", f"secret: x{key}", "", None, "plain text\nno secret", f"token = postgres://u:p@h {rand}\n{rand}", "AKIA" + "ABCD1234" * 2 + " key " + rand]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: (r.x.text, r.x["count"]) for r in df.select("k", transform.redacted_spans(F.col("t")).alias("x")).collect()}
+    for i, t in enumerate(texts):
+        if t is None:
+            assert got[i] == (None, 0)
+            continue
+        painted = [None] * (len(t) + 1)
+        spans = [(*m.span(), c) for _, c, _, p in detect.DETECTORS for m in re.finditer(p, t)]
+        for m in re.finditer(detect.LONG_TOKEN, t):
+            line = t[t.rfind("\n", 0, m.start()) + 1 :].split("\n")[0]
+            v = m.group()
+            bits = -sum(v.count(c) / len(v) * __import__("math").log2(v.count(c) / len(v)) for c in set(v))
+            if re.search(detect.KEY_HINT, line) and bits >= 4:
+                spans.append((*m.span(), "high-entropy-string"))
+        for s, e, _ in spans:
+            for j in range(s, e):
+                painted[j] = True
+        kept = "".join(c for j, c in enumerate(t) if not painted[j])
+        assert re.sub("«REDACTED:[a-z-]+»", "", got[i][0]) == kept
+        assert got[i][1] == got[i][0].count("«REDACTED:") and (rand not in got[i][0] or "\n" in t)
+    assert transform.merged_spans([(5, 9, "b"), (0, 5, "a"), (12, 13, "c")]) == [(0, 9, "a"), (12, 13, "c")]
+
+
+def test_a_key_block_is_no_harmless_setting(spark):
+    block = "HOST=-----BEGIN RSA PRIVATE KEY-----abc"
+    assert one(spark, block + "\nPORT=80", transform.env_sanitised) == "HOST=${HOST}\nPORT=80"
+
+
+def test_labels(spark):
+    labels = {"学生証番号6桁": "student-card", "保護者氏名": "name", "受診者番号": "account-id", "student id (required)": "student-id", "Passport No": "passport-number", "口座番号": "bank-account", "連絡先メール": "email", "tel": "phone", "score": None, "": None, None: None}
+    df = spark.createDataFrame([(k,) for k in labels], "x string").withColumn("k", tables.label_key(F.col("x")))
+    assert {r.x: r.kind for r in df.select("x", tables.identifier_kind(F.col("k")).alias("kind")).collect()} == labels
+
+
+def test_repeated_ranges(spark):
+    df = spark.createDataFrame([("o", 1, 10), ("o", 3, 5), ("o", 8, 12), ("o", 20, 30), ("o", 20, 25), ("p", 2, 3), ("p", 2, 3)], "k string, first int, last int")
+    got = {(r.k, r.first, r.last): r.work for r in ledger.repeated_ranges(df, ["k"]).collect()}
+    assert got == {("o", 1, 10): "new", ("o", 3, 5): "contained", ("o", 8, 12): "overlapping", ("o", 20, 30): "new", ("o", 20, 25): "contained", ("p", 2, 3): "new"}
+    assert ledger.repeated_ranges(df.limit(0), ["k"]).count() == 0

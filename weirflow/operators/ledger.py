@@ -5,7 +5,7 @@ Records are append-only rows with an order that tells any two apart. Latest and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The most that one retrieval gives.
@@ -35,6 +35,14 @@ def served(first: Column, last: Column, octets: Column, tokens: Column) -> Colum
     return F.when(last < first, "empty").when(last - first + 1 > MOST_LINES, F.concat(F.lit("lines: ask to L"), (first + MOST_LINES - 1).cast("string"))).when(octets > MOST_OCTETS, "octets").when(tokens > MOST_TOKENS, "tokens").otherwise("ok")
 
 
+def repeated_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, first, last, work of the distinct ranges of an object: contained in another one, overlapping one that begins before it, or new. One pass over the ranges of an object in their order: only the farthest end so far is needed, no pairs are made."""
+    before = Window.partitionBy(*keys).orderBy("first", F.col("last").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    x = ranges.select(*keys, "first", "last").distinct().withColumn("_reach", F.max("last").over(before))
+    work = F.when(F.col("_reach") >= F.col("last"), "contained").when(F.col("_reach") >= F.col("first"), "overlapping").otherwise("new")
+    return x.select(*keys, "first", "last", work.alias("work"))
+
+
 def intent(tool: Column) -> Column:
     t = F.lower(tool)
     return F.when(t.isin("grep", "search", "glob"), "find").when(t.isin("read", "view", "cat"), "read").when(t.isin("bash", "shell", "run"), "execute").when(t.isin("edit", "write"), "change").otherwise("other")

@@ -5,6 +5,7 @@ Cells are strings; null cells count as empty. Column facts are partial aggregate
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -13,50 +14,89 @@ from pyspark.sql import functions as F
 
 from weirflow.operators.ordering import rank_in_group
 
-# Column labels by the kind of identifier they name, and by category of associated data.
+# Column labels by the kind of identifier they name, in the order in which the kinds are tried.
 LABELS = {
-    "name": ("name", "fullname", "氏名", "名前", "studentname"),
-    "name-reading": ("kana", "フリガナ", "ふりがな", "カナ"),
-    "email": ("email", "mail", "メール", "メールアドレス"),
-    "phone": ("phone", "tel", "telephone", "電話", "電話番号"),
+    "name": ("fullname", "studentname", "name", "フルネーム", "氏名", "学生氏名", "名前"),
+    "name-reading": ("フリガナ", "ふりがな", "カナ", "カナ氏名", "氏名カナ", "フリガナ氏名", "セイメイカナ", "namekana", "kana", "furigana", "phonetic"),
+    "student-card": ("studentcardnumber", "学生証番号"),
+    "student-id": ("studentid", "studentnumber", "学籍番号", "idナンバ"),
+    "employee-id": ("employeeid", "employeenumber", "社員番号", "従業員番号"),
+    "account-id": ("accountid", "memberid", "会員番号"),
+    "email": ("email", "emailaddress", "メール", "メールアドレス"),
+    "phone": ("phone", "phonenumber", "電話", "電話番号"),
     "address": ("address", "住所"),
-    "student-id": ("studentid", "学籍番号", "studentnumber"),
-    "account-id": ("memberid", "accountid", "userid"),
-    "staff-id": ("staffid", "instructor", "担当教員"),
+    "my-number": ("マイナンバー", "個人番号", "mynumber", "individualnumber"),
+    "passport-number": ("パスポート番号", "旅券番号", "passportnumber", "passport"),
+    "bank-account": ("口座番号", "銀行口座", "預金口座", "bankaccount", "accountnumber", "iban"),
+    "credit-card": ("クレジットカード番号", "クレジットカード", "カード番号", "creditcard", "cardnumber"),
+    "biometric-id": ("生体認証", "指紋", "顔認証", "biometric", "fingerprint"),
+    "government-id": ("governmentid", "住民票コード", "residentregistercode"),
+    "course-code": ("授業コード", "科目コード", "コースコード", "coursecode", "classcode", "courseid", "classid"),
+    "staff-id": ("教員番号", "職員番号", "担当教員", "教員id", "staffid", "teacherid", "instructorid"),
+    "application-number": ("申込番号", "受付番号", "整理番号", "applicationnumber", "applicantid"),
+    "record-id": ("レコードid", "管理番号", "伝票番号", "recordid", "orderid", "contractid"),
+    "institutional-id": ("institutionalid",),
 }
-CATEGORIES = {"education-performance": ("score", "grade", "attendance", "成績", "点数", "出席"), "free-text": ("note", "備考", "comment")}
-DIRECT = ("name", "name-reading", "email", "phone", "address", "student-id", "account-id")
+# Parts at the end of a compound label that name its kind, where no label above does; at most 8 characters stand before them.
+ENDINGS = {
+    "name-reading": ("フリガナ", "ふりがな", "氏名カナ", "カナ"),
+    "name": ("氏名", "名前", "フルネーム", "なまえ"),
+    "email": ("メールアドレス", "メール"),
+    "phone": ("電話番号", "電話", "tel"),
+    "address": ("住所",),
+    "account-id": ("番号", "id", "コード"),
+}
+# Parts of labels by the category of associated data.
+CATEGORIES = {
+    "education-performance": ("grade", "grades", "score", "scores", "quiz", "coursetotal", "attendance", "評定", "評点", "成績", "点数", "小テスト", "コース合計", "出席", "出席率"),
+    "salary": ("salary", "compensation", "給与", "賃金", "報酬"),
+    "performance-evaluation": ("performanceevaluation", "evaluation", "人事評価", "勤務評定"),
+    "health": ("health", "diagnosis", "medical", "健康", "診断", "病歴"),
+    "disciplinary": ("disciplinary", "discipline", "懲戒", "処分"),
+}
+#: Kinds by what they identify: persons directly, or rows and roles of an organisation.
+OPERATIONAL = ("employee-id", "account-id", "student-id", "student-card", "course-code", "staff-id", "application-number", "record-id", "institutional-id")
+DIRECT = tuple(k for k in LABELS if k not in OPERATIONAL)
 
 
 def label_key(label: Column) -> Column:
-    """A column label without case, width, blanks and signs."""
+    """A column label without case, width, blanks and signs; null stays null."""
 
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:
-        drop = dict.fromkeys(map(ord, " \t_.:/()（）-﻿"))
-        return pd.Series([None if v is None else unicodedata.normalize("NFKC", v).strip().lower().translate(drop) for v in x], dtype=object)
+        return pd.Series([None if v is None else re.sub(r"[\s_.:/()（）-]+", "", unicodedata.normalize("NFKC", v.removeprefix("\ufeff")).strip().lower()) for v in x], dtype=object)
 
-    ascii_form = F.regexp_replace(F.lower(F.trim(label)), r"[\s_.:/()-]", "")
-    return F.when(label.rlike(r"^[ -~]*$"), ascii_form).otherwise(run(F.when(~label.rlike(r"^[ -~]*$"), label)))
+    ascii_form = F.regexp_replace(F.lower(F.trim(label)), r"[\s_.:/()-]+", "")
+    return F.when(label.rlike(r"\A[ -~]*\z"), ascii_form).otherwise(run(F.when(~label.rlike(r"\A[ -~]*\z"), label)))
 
 
 def identifier_kind(key: Column) -> Column:
-    """Kind of direct identifier that a label's key names: exactly, or (labels of five characters and more) at its start."""
-    out = None
+    """Kind of identifier that a label's key names: by a label exactly, or (labels of five characters and more) at its start, else by its ending; null if none."""
+    out = F.when(key.isNull(), F.lit(None).cast("string"))
     for kind, labels in LABELS.items():
-        hit = key.isin(*labels) | F.exists(F.array(*(F.lit(x) for x in labels if len(x) >= 5) or [F.lit("\0")]), lambda x: key.startswith(x))
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+        for x in labels:
+            out = out.when(key == x, kind) if len(x) < 5 else out.when(key.startswith(x), kind)
+    for kind, endings in ENDINGS.items():
+        for x in endings:
+            out = out.when(key.endswith(x) & (F.char_length(key) <= len(x) + 8), kind)
     return out
 
 
 def category(key: Column) -> Column:
-    out = None
+    """Category of associated data that a label's key names; null if none."""
+    out = F.when(key.isNull(), F.lit(None).cast("string"))
     for kind, labels in CATEGORIES.items():
-        hit = F.exists(F.array(*(F.lit(x) for x in labels)), lambda x: F.contains(key, x))
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+        out = out.when(F.exists(F.array(*(F.lit(x) for x in labels)), lambda x: F.contains(key, x)), kind)
     return out
 
 
+def header_class(kinds: Column, categories: Column) -> Column:
+    """struct<direct_identifier_columns, performance_columns, sensitivity, types, categories> of a table from the kinds and categories of its labels (arrays with nulls), in their order."""
+    named = F.filter(kinds, lambda k: k.isNotNull())
+    judged = F.filter(categories, lambda c: c.isNotNull())
+    return F.struct(F.size(named).alias("direct_identifier_columns"), F.size(judged).alias("performance_columns"), sensitivity(F.size(named), F.size(judged)).alias("sensitivity"), named.alias("types"), F.array_sort(F.array_distinct(judged)).alias("categories"))
+
+
 def sensitivity(identifiers: Column, categories: Column) -> Column:
     return F.when((identifiers > 0) & (categories > 0), "restricted").when((identifiers > 0) | (categories > 0), "confidential").otherwise("none")
 

@@ -53,10 +53,10 @@ def rendered(df: DataFrame, key: str, text: str, dropped: DataFrame) -> DataFram
     """key, view: the lines of the text without the dropped ones, a marker standing for each range."""
     r = ranges(dropped, key)
     marker = F.concat(F.lit("… "), F.col("items").cast("string"), F.when(F.col("items") == 1, " line omitted (").otherwise(" lines omitted ("), "reasons", F.lit(") → retrieve "), "locator", F.lit(" …"))
-    marks = r.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("first", marker))).alias("marks"), F.collect_list(F.struct("first", "last")).alias("spans"))
-    x = df.select(key, text).join(marks, key, "left")
-    pieces = F.transform(lines(F.col(text)), lambda line, i: F.struct((i + 1).alias("n"), line.alias("line")))
-    out = F.transform(pieces, lambda p: F.coalesce(F.element_at("marks", p["n"]), F.when(F.exists("spans", lambda s: (s["first"] <= p["n"]) & (p["n"] <= s["last"])), F.lit(None)).otherwise(p["line"])))
+    marks = r.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("first", marker))).alias("marks"))
+    gone = dropped.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("n", F.lit(True)))).alias("gone"))  # looked up by line, so a text takes time in proportion to its lines
+    x = df.select(key, text).join(marks, key, "left").join(gone, key, "left")
+    out = F.transform(lines(F.col(text)), lambda line, i: F.coalesce(F.element_at("marks", (i + 1).cast("long")), F.when(F.element_at("gone", (i + 1).cast("long")).isNull(), line)))
     return x.select(key, F.when(F.col("marks").isNull(), F.col(text)).otherwise(F.array_join(F.filter(out, lambda v: v.isNotNull()), "\n")).alias("view"))
 
 

@@ -96,10 +96,23 @@ _TAILED = "SELECT row_id, raw, coalesce(lag(right(raw, 256)) OVER (PARTITION BY
 )
 def detect_across_chunks(spark, sf_dir):
     """Matches in each chunk of an export with the tail of the chunk before it, wherever that lies; an export of any length is spread over ranges. Chunks without a sign in themselves or their tail can't hold a match."""
+    return _across(spark, sf_dir, F.contains("raw", F.lit("@")) | F.contains("tail", F.lit("@")))
+
+
+def _across(spark, sf_dir, asked):
     d = table(spark, sf_dir, "delimited_rows").select("row_id", "export_id", "row_no", F.expr("right(raw, 256)").alias("end"), "raw")
-    x = O.previous_in_group(d, ["export_id"], ["row_no", "row_id"], "end", "tail").withColumn("tail", F.coalesce("tail", F.lit(""))).filter(F.contains("raw", F.lit("@")) | F.contains("tail", F.lit("@")))
+    x = O.previous_in_group(d, ["export_id"], ["row_no", "row_id"], "end", "tail").withColumn("tail", F.coalesce("tail", F.lit(""))).filter(F.col("raw").isNotNull() & asked)
     n = lambda c: F.regexp_count(c, F.lit(_EMAIL))
-    return x.filter(F.col("raw").isNotNull()).select("row_id", n(F.concat("tail", "raw")).alias("with_tail"), n(F.col("raw")).alias("alone"))
+    return x.select("row_id", n(F.concat("tail", "raw")).alias("with_tail"), n(F.col("raw")).alias("alone"))
+
+
+@R.add(
+    "detect_across_export",
+    f"SELECT row_id, len(regexp_extract_all(tail || raw, {_sql(_EMAIL)})) AS with_tail, len(regexp_extract_all(raw, {_sql(_EMAIL)})) AS alone FROM ({_TAILED}) WHERE contains(raw, '@')",
+)
+def detect_across_export(spark, sf_dir):
+    """Those of detect_across_chunks whose own chunk holds the sign."""
+    return _across(spark, sf_dir, F.contains("raw", F.lit("@")))
 
 
 @R.add("detect_detector_summary", _FORMATS + " SELECT detector, severity, count(*) AS findings, count(DISTINCT file_id) AS files FROM hits GROUP BY ALL")

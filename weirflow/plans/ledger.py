@@ -9,7 +9,7 @@ from weirflow.operators import ledger as L
 from weirflow.operators import policy as P
 from weirflow.operators import views as V
 from weirflow.plans.registry import Registry
-from weirflow.plans.views import tokens_sql
+from weirflow.plans.views import _HITS, _RANGES, tokens_sql
 from weirflow.sources.tables import table
 
 R = Registry()
@@ -53,16 +53,33 @@ def ledger_retrievals(spark, sf_dir):
     return d.select("doc_id", L.served(F.lit(1), F.size(F.split(t, "\n", -1)), F.octet_length(t), token_estimate(t)).alias("verdict"))
 
 
-@R.add("ledger_within_exposed")
+def _asked(spark, sf_dir):
+    """Omitted ranges of search results, and the ranges asked for: each of them, and the same moved by a line."""
+    r = V.ranges(V.search_dropped(V.search_hits(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id"), "doc_id").select("doc_id", "first", "last")
+    return r, r.unionByName(r.select("doc_id", (F.col("first") + 1).alias("first"), (F.col("last") + 1).alias("last")))
+
+
+_ASKED = f"WITH {_HITS}, rng AS ({_RANGES}), asked AS (SELECT doc_id, first, last FROM rng UNION ALL SELECT doc_id, first + 1, last + 1 FROM rng)"
+
+
+@R.add("ledger_within_exposed", f"{_ASKED} SELECT doc_id, first, last, EXISTS (SELECT 1 FROM rng r WHERE r.doc_id = a.doc_id AND a.first >= r.first AND a.last <= r.last) AS allowed FROM asked a")
 def ledger_within_exposed(spark, sf_dir):
     """Ranges asked for (every omitted range, and the same moved by a line) and whether an exposed range of the text holds them. Exposed ranges of a text don't overlap, so each asked range meets at most one: the last that begins before it."""
-    d = table(spark, sf_dir, "documents")
-    r = V.ranges(V.search_dropped(V.search_hits(d, "doc_id", "text"), "doc_id"), "doc_id").select("doc_id", "first", "last")
-    asked = r.select("doc_id", F.explode(F.array(F.struct(F.col("first").alias("f"), F.col("last").alias("l")), F.struct((F.col("first") + 1).alias("f"), (F.col("last") + 1).alias("l")))).alias("a")).select("doc_id", "a.f", "a.l")
+    r, asked = _asked(spark, sf_dir)
+    asked = asked.select("doc_id", F.col("first").alias("f"), F.col("last").alias("l"))
     exposed = r.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("exposed"))
     return asked.join(exposed, "doc_id", "left").select("doc_id", F.col("f").alias("first"), F.col("l").alias("last"), F.exists("exposed", lambda e: P.within(F.col("f"), F.col("l"), e["first"], e["last"])).alias("allowed"))
 
 
+@R.add(
+    "ledger_repeated_retrievals",
+    f"{_ASKED} SELECT doc_id, first, last, CASE WHEN EXISTS (SELECT 1 FROM asked b WHERE b.doc_id = a.doc_id AND b.first <= a.first AND b.last >= a.last AND (b.first < a.first OR b.last > a.last)) THEN 'contained' WHEN EXISTS (SELECT 1 FROM asked b WHERE b.doc_id = a.doc_id AND (b.first < a.first OR b.first = a.first AND b.last > a.last) AND b.last >= a.first) THEN 'overlapping' ELSE 'new' END AS work FROM (SELECT DISTINCT * FROM asked) a",
+)
+def ledger_repeated_retrievals(spark, sf_dir):
+    """How much of each range asked for was asked for before it in the text: all (contained), a part (overlapping), nothing (new)."""
+    return L.repeated_ranges(_asked(spark, sf_dir)[1], ["doc_id"])
+
+
 _INTENT = "CASE WHEN lower(tool) IN ('grep', 'search', 'glob') THEN 'find' WHEN lower(tool) IN ('read', 'view', 'cat') THEN 'read' WHEN lower(tool) IN ('bash', 'shell', 'run') THEN 'execute' WHEN lower(tool) IN ('edit', 'write') THEN 'change' ELSE 'other' END"
 
 

@@ -6,20 +6,53 @@ from pyspark.sql import functions as F
 
 from weirflow.operators import parse_errors as P
 from weirflow.operators import tables as T
-from weirflow.plans.parse_errors import _FOUND
+from weirflow.plans.parse_errors import _FOUND, _PARSED
 from weirflow.plans.registry import Registry
 from weirflow.sources.tables import table
 
 R = Registry()
 
 
-@R.add("people_headers")
-def people_headers(spark, sf_dir):
-    """Kind of identifier and category that each column label of the layouts names."""
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_KIND = (
+    "CASE "
+    + " ".join(f"WHEN len(list_filter({_list(ls)}, lambda w: k = w OR length(w) >= 5 AND starts_with(k, w))) > 0 THEN '{kind}'" for kind, ls in T.LABELS.items())
+    + " "
+    + " ".join(f"WHEN len(list_filter({_list(ls)}, lambda w: ends_with(k, w) AND length(k) <= length(w) + 8)) > 0 THEN '{kind}'" for kind, ls in T.ENDINGS.items())
+    + " END"
+)
+_CATEGORY = "CASE " + " ".join(f"WHEN len(list_filter({_list(ls)}, lambda w: contains(k, w))) > 0 THEN '{kind}'" for kind, ls in T.CATEGORIES.items()) + " END"
+_HEADERS = rf"""WITH h AS (SELECT layout_id, unnest(range(len(column_names)))::INT AS col, unnest(column_names) AS label FROM table_layout),
+ n AS (SELECT *, regexp_replace(lower(trim(nfc_normalize(label), ' ')), '[\s_.:/()（）-]+', '', 'g') AS k FROM h), c AS (SELECT layout_id, col, label, {_KIND} AS kind, {_CATEGORY} AS category FROM n)"""
+
+
+def _headers(spark, sf_dir):
     x = table(spark, sf_dir, "table_layout").select("layout_id", F.posexplode("column_names").alias("col", "label")).withColumn("k", T.label_key(F.col("label")))
     return x.select("layout_id", "col", "label", T.identifier_kind(F.col("k")).alias("kind"), T.category(F.col("k")).alias("category"))
 
 
+@R.add("people_headers", _HEADERS + " SELECT layout_id, col, label, kind, category FROM c")
+def people_headers(spark, sf_dir):
+    """Kind of identifier and category that each column label of the layouts names."""
+    return _headers(spark, sf_dir)
+
+
+@R.add(
+    "people_classified",
+    _HEADERS
+    + " SELECT layout_id, count(kind)::INT AS direct_identifier_columns, count(category)::INT AS performance_columns, CASE WHEN count(kind) > 0 AND count(category) > 0 THEN 'restricted' WHEN count(kind) > 0 OR count(category) > 0 THEN 'confidential' ELSE 'none' END AS sensitivity, coalesce(string_agg(kind, ',' ORDER BY col), '') AS types, coalesce((SELECT string_agg(DISTINCT category, ',' ORDER BY category) FROM c d WHERE d.layout_id = c.layout_id), '') AS categories FROM c GROUP BY layout_id",
+)
+def people_classified(spark, sf_dir):
+    """Every layout as a whole: how many of its columns identify persons, which categories go with them, how sensitive it is."""
+    g = _headers(spark, sf_dir).groupBy("layout_id").agg(F.array_sort(F.collect_list(F.struct("col", "kind", "category"))).alias("c"))  # as many as a layout has columns
+    x = g.select("layout_id", T.header_class(F.col("c.kind"), F.col("c.category")).alias("h"))
+    return x.select("layout_id", "h.direct_identifier_columns", "h.performance_columns", "h.sensitivity", F.array_join("h.types", ",").alias("types"), F.array_join("h.categories", ",").alias("categories"))
+
+
 @R.add("people_sensitivity", "SELECT sensitivity, CASE WHEN direct_identifier_columns > 0 AND performance_columns > 0 THEN 'restricted' WHEN direct_identifier_columns > 0 OR performance_columns > 0 THEN 'confidential' ELSE 'none' END AS computed, count(*) AS exports FROM table_classification GROUP BY ALL")
 def people_sensitivity(spark, sf_dir):
     t = table(spark, sf_dir, "table_classification")
@@ -51,7 +84,13 @@ def people_column_facts(spark, sf_dir):
     return T.column_facts(_cells(spark, sf_dir), ["layout_id", "col"])
 
 
-@R.add("people_inferred_kinds")
+@R.add(
+    "people_inferred_kinds",
+    _CELLS
+    + " , f AS (SELECT layout_id, col::INT AS col, count_if(shape <> 'empty') AS filled, count(DISTINCT value) FILTER (WHERE shape <> 'empty') AS d, "
+    + ", ".join(f"round(count_if(shape = '{s}') / greatest(count_if(shape <> 'empty'), 1), 4) AS share_{s}" for s in ("email", "phone", "code", "text"))
+    + " FROM s GROUP BY ALL), k AS (SELECT layout_id, col, CASE WHEN share_email >= 0.8 THEN 'email' WHEN share_phone >= 0.8 THEN 'phone' WHEN d >= 0.9 * filled AND share_code >= 0.8 THEN 'account-id' WHEN d >= 0.9 * filled AND share_text >= 0.8 THEN 'name' END AS kind FROM f) SELECT layout_id, col, kind FROM k WHERE kind IS NOT NULL",
+)
 def people_inferred_kinds(spark, sf_dir):
     return people_column_facts(spark, sf_dir).select("layout_id", "col", T.inferred_kind().alias("kind")).filter("kind is not null")
 
@@ -108,7 +147,12 @@ def people_aggregates(spark, sf_dir):
     return g.unpivot(["l_returnflag", "records"], list(metrics), "metric", "mean").select("l_returnflag", "metric", "records", "mean")
 
 
-@R.add("people_serialised")
+@R.add(
+    "people_serialised",
+    _PARSED
+    + " , q AS (SELECT c.row_id, l.delimiter, unnest(range(len(cells))) AS i, unnest(cells) AS v FROM cells c JOIN table_layout l USING (layout_id) WHERE quoted_well)"
+    + """ SELECT row_id, replace(string_agg(CASE WHEN contains(v, '"') OR contains(v, chr(10)) OR contains(v, chr(13)) OR contains(v, delimiter) THEN '"' || replace(v, '"', '""') || '"' ELSE v END, chr(1) ORDER BY i), chr(1), delimiter) AS record, true AS round_trip FROM q GROUP BY row_id, delimiter""",
+)
 def people_serialised(spark, sf_dir):
     """Records written again from their cells; whether that gives the record as it was (but for needless quotes)."""
     layouts = table(spark, sf_dir, "table_layout").select("layout_id", "delimiter", "data_start_row")

@@ -22,6 +22,4 @@ def stream_delivery(spark, sf_dir):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
     stream = reader.parquet(path) if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    base = os.path.join(checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
-    S.run_available(S.delivered(stream), f"{base}/out", f"{base}/state")
-    return spark.read.parquet(f"{base}/out")
+    return S.run_available(S.delivered(stream), os.path.join(checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}"))

@@ -57,9 +57,14 @@ def view_search_counts(spark, sf_dir):
     return per.groupBy("doc_id").agg(F.sum("n").alias("hits"), F.count("*").alias("files"))
 
 
-@R.add("view_search_rendered")
+_RENDERED = f"""WITH {_HITS}, r AS ({_RANGES}), ln AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS line FROM l),
+ p AS (SELECT ln.doc_id, ln.n, CASE WHEN r.doc_id IS NULL THEN line WHEN ln.n = r.first THEN '… ' || r.items || CASE WHEN r.items = 1 THEN ' line omitted (' ELSE ' lines omitted (' END || r.reasons || ') → retrieve ' || r.locator || ' …' END AS piece FROM ln LEFT JOIN r ON ln.doc_id = r.doc_id AND ln.n BETWEEN r.first AND r.last),
+ v AS (SELECT doc_id, string_agg(piece, chr(10) ORDER BY n) AS view FROM p WHERE piece IS NOT NULL GROUP BY 1)"""
+
+
+@R.add("view_search_rendered", f"{_RENDERED} SELECT doc_id, {tokens_sql('view')} AS tokens_after, sha256(view) AS view_hash FROM v")
 def view_search_rendered(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("source = 'search-tool' and text is not null")
+    d = table(spark, sf_dir, "documents").filter("text is not null")
     v = V.rendered(d, "doc_id", "text", V.search_dropped(V.search_hits(d, "doc_id", "text"), "doc_id"))
     return v.select("doc_id", token_estimate(F.col("view")).alias("tokens_after"), F.sha2("view", 256).alias("view_hash"))
 

@@ -1,46 +1,62 @@
 """Delivery of a stream of results per session: sequence numbers, the running budget, and whether a result was delivered before.
 
-The state of a session is kept by Structured Streaming; with the checkpoint a restarted stream goes on where it was. Within a micro-batch the rows of a session are taken in the order of (ts, event_id), whole groups are
-read in Arrow batches. The batch twin (budget_session_running, budget_repeated_work) gives the same numbers for one batch.
+Each micro-batch is numbered by running sums over ranges (operators/ordering), so a session with a third of all rows is spread over many tasks; what went before is one row per session and kind of result in a
+written table of totals. A batch writes its result and the new totals under its number, so a batch that is run again after a loss gives the same rows once. Within a micro-batch the rows of a session are taken in
+the order of (ts, event_id). The batch twins (budget_session_running, budget_repeated_work) give the same numbers for one batch.
+
+Defined cases: repeated event_ids are delivered once while the watermark covers them; null kinds are one kind, null sizes count 0; a stream without rows gives an empty table.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-OUT = "event_id bigint, user_id bigint, seq bigint, used bigint, repeats bigint"
-STATE = "seq bigint, used bigint, counts string"
 
+from weirflow.operators.ordering import running_sum
 
-def _step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seq, used, counts = state.get if state.exists else (0, 0, "{}")
-    seen = json.loads(counts)
-    rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-    out = []
-    for r in rows.itertuples(index=False):
-        seq += 1
-        used += int(r.size)
-        kind = str(r.event_type)
-        out.append((int(r.event_id), key[0], seq, used, seen.get(kind, 0)))
-        seen[kind] = seen.get(kind, 0) + 1  # one entry per kind of result: bounded by the kinds
-    state.update((seq, used, json.dumps(seen)))
-    yield pd.DataFrame(out, columns=["event_id", "user_id", "seq", "used", "repeats"])
+OUT = "event_id bigint, user_id bigint, seq bigint, used bigint, repeats bigint"
+TOTALS = "user_id bigint, kind string, n bigint, used bigint"
 
 
 def delivered(stream: DataFrame) -> DataFrame:
-    """stream: event_id, user_id, event_type, ts, props; repeated event_ids are delivered once while the watermark covers them."""
+    """stream: event_id, user_id, event_type, ts, props, each event once: event_id, user_id, kind, ts, size."""
     once = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "30 days").dropDuplicatesWithinWatermark(["event_id"])
-    rows = once.select("event_id", "user_id", F.coalesce("event_type", F.lit("")).alias("event_type"), "ts", F.coalesce(F.char_length("props"), F.lit(0)).alias("size"))
-    return rows.groupBy("user_id").applyInPandasWithState(_step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Process what is there now, append it as Parquet, and stop."""
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    return once.select("event_id", "user_id", F.coalesce("event_type", F.lit("")).alias("kind"), "ts", F.coalesce(F.char_length("props"), F.lit(0)).cast("long").alias("size"))
+
+
+def numbered(rows: DataFrame, before: DataFrame) -> DataFrame:
+    """rows of one batch with seq, used and repeats that go on from the totals before (user_id, kind, n, used)."""
+    order = ["ts", "event_id"]
+    x = running_sum(rows.withColumn("one", F.lit(1).cast("long")), ["user_id"], order, "one", "seq")
+    x = running_sum(x, ["user_id"], order, "size", "used")
+    x = running_sum(x, ["user_id", "kind"], order, "one", "repeats")
+    of_user = before.groupBy("user_id").agg(F.sum("n").alias("n0"), F.sum("used").alias("u0"))
+    of_kind = before.groupBy("user_id", "kind").agg(F.sum("n").alias("k0"))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    x = x.join(of_user, "user_id", "left").join(of_kind, ["user_id", "kind"], "left")
+    return x.select("event_id", "user_id", (F.col("seq") + z("n0")).alias("seq"), (F.col("used") + z("u0")).alias("used"), (F.col("repeats") - 1 + z("k0")).alias("repeats"))
+
+
+def _batch(base: str) -> Callable[[DataFrame, int], None]:
+    def run(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        before = spark.read.schema(TOTALS).parquet(f"{base}/totals/{number - 1}") if number else spark.createDataFrame([], TOTALS)
+        rows = rows.persist()
+        numbered(rows, before).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        now = rows.groupBy("user_id", "kind").agg(F.count("*").alias("n"), F.sum("size").alias("used"))
+        before.unionByName(now).groupBy("user_id", "kind").agg(F.sum("n").alias("n"), F.sum("used").alias("used")).write.mode("overwrite").parquet(f"{base}/totals/{number}")
+        rows.unpersist()
+
+    return run
+
+
+def run_available(stream: DataFrame, base: str) -> DataFrame:
+    """Process what is there now, write it under base, stop, and return what was written."""
+    spark: SparkSession = stream.sparkSession
+    q = stream.writeStream.foreachBatch(_batch(base)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
+    out = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/out")
+    there = out.getFileSystem(spark._jsc.hadoopConfiguration()).exists(out)
+    return spark.read.schema(OUT).parquet(f"{base}/out").drop("batch") if there else spark.createDataFrame([], OUT)
