@@ -250,3 +250,38 @@ def test_repeated_ranges(spark):
     got = {(r.k, r.first, r.last): r.work for r in ledger.repeated_ranges(df, ["k"]).collect()}
     assert got == {("o", 1, 10): "new", ("o", 3, 5): "contained", ("o", 8, 12): "overlapping", ("o", 20, 30): "new", ("o", 20, 25): "contained", ("p", 2, 3): "new"}
     assert ledger.repeated_ranges(df.limit(0), ["k"]).count() == 0
+
+
+def test_queue(spark):
+    from weirflow.operators import queue
+
+    rows = [("a", "x", 1.0, 5, 1), ("a", "x", 9.0, 7, 2), ("b", "x", 9.0, 6, 3), ("c", "x", None, 1, 4), ("d", "y", 2.0, 3, 5), ("d", "y", 2.0, 3, 6), ("e", None, 1.0, 1, 7)]
+    df = spark.createDataFrame(rows, "k string, kind string, priority double, asked_at int, id int")
+    q = queue.enqueued(df, ["k", "kind"], ["asked_at", "id"])
+    got = {r.k: (r.id, r.priority, r.asked) for r in q.collect()}
+    assert got == {"a": (1, 9.0, 2), "b": (3, 9.0, 1), "c": (4, None, 1), "d": (5, 2.0, 2), "e": (7, 1.0, 1)}
+    assert {(r.k, r.place) for r in queue.next_items(q, "id", 2).collect()} == {("a", 1), ("b", 2), ("d", 1), ("e", 1)}
+    assert sorted((r.batch, r.k) for r in queue.in_batches(q, "id", 2).collect()) == [(0, "a"), (0, "b"), (1, "d"), (1, "e"), (2, "c")]
+    assert queue.next_items(queue.enqueued(df.limit(0), ["k", "kind"], ["asked_at", "id"]), "id", 2).count() == 0
+    ev = spark.createDataFrame([("a", "queued", "2026-01-01 00:00:00", 1), ("a", "running", "2026-01-01 00:01:00", 2), ("b", "running", "2026-01-01 01:00:00", 3), ("c", "done", "2026-01-01 01:05:00", 4)], "k string, event string, ts string, id int").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert {(r.k, r.state, r.tries) for r in queue.states(ev, ["k"], ["ts", "id"], 600).collect()} == {("a", "lost", 1), ("b", "running", 1), ("c", "done", 0)}
+
+
+def test_regions_and_unlabelled_tables(spark):
+    from weirflow.operators import parse_errors
+
+    layouts = spark.createDataFrame([(1, ","), (2, "\t")], "layout_id int, delimiter string")
+    rows = [(1, 1, 0, "Report"), (1, 1, 1, "a,b"), (1, 1, 2, '"x,1",2'), (1, 1, 2, '"x,1",2'), (2, 2, 0, "a\tb"), (2, 2, 1, "c\td\r"), (3, 1, 0, "a,b"), (3, 1, 1, "a,b,c"), (4, 1, 0, '"open'), (5, 1, 0, None)]
+    df = spark.createDataFrame(rows, "export_id long, layout_id int, row_no long, raw string")
+    got = {r.export_id: (r.width, r.rows, r.preamble, r.strict) for r in parse_errors.regions(df, layouts).collect()}
+    assert got == {1: (2, 2, 1, False), 2: (2, 2, 0, True), 3: (3, 1, 1, False), 4: (0, 0, 0, False), 5: (1, 1, 0, False)}
+    assert parse_errors.regions(df.limit(0), layouts).count() == 0
+    cells = [(1, 0, str(20_000 + i)) for i in range(10)] + [(1, 1, str(i)) for i in range(9)] + [(1, 1, "ill"), (1, 2, None)] + [(2, 0, str(20_000 + i)) for i in range(10)] + [(3, 0, "77777")]
+    t = tables.id_score_tables(spark.createDataFrame(cells, "t int, c int, v string"), "t", "c", "v")
+    assert [tuple(r) for r in t.collect()] == [(1, 1, 1)]
+
+
+def test_families_have_one_canonical_row(spark):
+    df = spark.createDataFrame([(1, "b.bin", "x"), (2, "a.txt", "x"), (3, "a.txt", "x"), (4, "c", None), (5, "d", ""), (6, "e", "y")], "id int, p string, t string")
+    got = diffs.canonical_families(df, "id", "t", [~F.col("p").endswith(".txt"), F.col("p")]).collect()
+    assert [(r.members, r.canonical) for r in got] == [(3, 2)]

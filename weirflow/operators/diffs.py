@@ -17,6 +17,12 @@ def families(df: DataFrame, key: str, content: str) -> DataFrame:
     return g.filter("members > 1").withColumn("duplicate_octets", F.col("octets") * (F.col("members") - 1))
 
 
+def canonical_families(df: DataFrame, key: str, content: str, preferred: list[Column]) -> DataFrame:
+    """digest, members, canonical of contents that stand in several rows; canonical is the key of the row that comes first by the preferred columns, then by key. Each row is in at most one family, as it has one digest."""
+    d = df.filter(F.coalesce(F.col(content) != "", F.lit(False))).select(F.col(key).alias("_k"), F.sha2(content, 256).alias("digest"), F.struct(*preferred, F.col(key)).alias("_o"))
+    return d.groupBy("digest").agg(F.count("*").alias("members"), F.min_by("_k", "_o").alias("canonical")).filter("members > 1")
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """path, old_path, change (renamed, deleted, added, modified) between snapshots (path, digest). A rename is a digest that one deleted and one added path have alone."""
     b = before.groupBy("path").agg(F.min("digest").alias("db"))

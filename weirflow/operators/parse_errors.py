@@ -133,3 +133,17 @@ def typed_table(rows: DataFrame, layouts: DataFrame, layout_id: int) -> DataFram
         seen.add(name.lower())
         outs.append(F.any_value(F.when(F.col("col") == r.col, F.col(f"{r.kind}_value")), True).alias(name))
     return t.groupBy("row_id").agg(*outs)
+
+
+def regions(rows: DataFrame, layouts: DataFrame, group: str = "export_id") -> DataFrame:
+    """The table that the rows of a group hold: group, width (the most frequent number of cells; of equal ones the wider), rows (that have it), preamble (rows before the first of them), strict (all rows have one width of two and more).
+
+    Rows that aren't well quoted have no width. Rows that were sent twice count once. Widths are counted per group first, so a group of any size is a few rows."""
+    small = bounded_broadcast(layouts.select("layout_id", "delimiter"))
+    x = rows.select(group, "layout_id", "row_no", "raw").distinct().join(small, "layout_id").select(group, "row_no", "delimiter", body(F.col("raw")).alias("t"))
+    w = x.select(group, "row_no", F.when(well_quoted(F.col("t"), F.col("delimiter")), F.size(cells(F.col("t"), F.col("delimiter")))).otherwise(0).cast("long").alias("width"))
+    per = w.groupBy(group, "width").agg(F.count("*").alias("n"), F.min("row_no").alias("first"))
+    modal = per.groupBy(group).agg(F.max(F.struct(F.when(F.col("width") > 0, F.col("n")).otherwise(0).alias("n"), "width", "first")).alias("m"), F.count("*").alias("widths"))
+    modal = modal.select(group, F.col("m.width").alias("width"), F.col("m.n").alias("rows"), F.col("m.first").alias("first"), ((F.col("widths") == 1) & (F.col("m.width") > 1)).alias("strict"))
+    before = w.join(modal.select(group, "first"), group).filter(F.col("row_no") < F.col("first")).groupBy(group).agg(F.count("*").alias("preamble"))
+    return modal.join(before, group, "left").select(group, "width", "rows", F.coalesce("preamble", F.lit(0)).alias("preamble"), "strict")

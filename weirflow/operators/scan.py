@@ -80,6 +80,14 @@ def file_type(path: Column) -> Column:
     return F.when(ext.isin("pdf", "xlsx", "csv", "tsv", "docx", "pptx"), ext).when(ext.isin("zip", "gz", "tgz", "tar", "7z", "rar", "bz2", "xz", "jar"), "archive").otherwise("text")
 
 
+def size_verdict(path: Column, size: Column) -> Column:
+    """How a file of this name and size is treated: too-large (beyond its format's limit), large (only listed), or ok; null sizes are ok."""
+    limit = F.lit(None).cast("long")
+    for kind, most in LIMITS.items():
+        limit = F.when(file_type(path) == kind, most).otherwise(limit)
+    return F.when(size > limit, "too-large").when(limit.isNull() & (size > F.least(F.lit(LARGE), F.lit(READ_MOST))), "large").otherwise("ok")
+
+
 def capabilities(path: Column) -> Column:
     """struct<type, parser, transformers>: what can be done with a file of this name."""
     t = file_type(path)

@@ -126,6 +126,17 @@ def column_facts(cells: DataFrame, keys: list[str]) -> DataFrame:
     return per.groupBy(*keys).agg(F.sum("n").alias("cells"), filled.alias("filled"), F.count_if(full).alias("distinct_values"), *(share(s).alias(f"share_{s}") for s in ("email", "phone", "datetime", "numeric", "code", "text")))
 
 
+def id_score_tables(cells: DataFrame, table: str, col: str, value: str, least: int = 10, share: float = 0.8) -> DataFrame:
+    """table, id_columns, score_columns of tables with a column of long numbers and one of numbers up to 100, each in at least this share of at least so many filled cells. Values are counted before they are judged."""
+    v = F.trim(F.coalesce(F.col(value), F.lit("")))
+    per = cells.select(table, col, v.alias("v")).filter("v <> ''").groupBy(table, col, "v").agg(F.count("*").alias("n"))
+    is_id, is_score = F.col("v").rlike(r"\A[0-9]{5,12}\z"), F.col("v").rlike(r"\A[0-9]{1,3}([.][0-9]+)?\z") & (F.col("v").try_cast("double") <= 100)
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    f = per.groupBy(table, col).agg(F.sum("n").alias("filled"), count(is_id).alias("ids"), count(is_score).alias("scores")).filter(F.col("filled") >= least)
+    out = f.groupBy(table).agg(F.count_if(F.col("ids") >= share * F.col("filled")).alias("id_columns"), F.count_if(F.col("scores") >= share * F.col("filled")).alias("score_columns"))
+    return out.filter("id_columns > 0 and score_columns > 0")
+
+
 def inferred_kind() -> Column:
     """Kind of a column from its facts alone."""
     unique = F.col("distinct_values") >= 0.9 * F.col("filled")

@@ -33,9 +33,9 @@ def window_view(text: Column) -> Column:
     by_lines = F.array_join(F.concat(F.slice(ls, 1, HEAD), F.array(mid), F.slice(ls, n - TAIL + 1, F.lit(TAIL))), "\n")
     raw = F.encode(text, "UTF-8")
     cut = F.concat(F.lit("… "), (size - HEAD_BYTES - TAIL_BYTES).cast("string"), F.lit(f" bytes withheld → retrieve B{HEAD_BYTES}-B"), (size - TAIL_BYTES).cast("string"), F.lit(" …"))
-    part = lambda s, k: F.regexp_replace(F.expr("cast(null as string)") if s is None else F.decode(F.substring(raw, s, k), "UTF-8"), "�+", "")
-    tail = F.regexp_replace(F.decode(raw.substr(size - TAIL_BYTES + 1, F.lit(TAIL_BYTES)), "UTF-8"), "�+", "")
-    by_bytes = F.concat(part(1, HEAD_BYTES), F.lit("\n"), cut, F.lit("\n"), tail)
+    head = F.regexp_replace(F.decode(F.substring(raw, 1, HEAD_BYTES), "UTF-8"), "�+\\z", "")  # a character that the cut went through is left out
+    tail = F.regexp_replace(F.decode(raw.substr(size - TAIL_BYTES + 1, F.lit(TAIL_BYTES)), "UTF-8"), "\\A�+", "")
+    by_bytes = F.concat(head, F.lit("\n"), cut, F.lit("\n"), tail)
     view = F.when(n >= WINDOW_LINES, by_lines).when(size >= BYTES_FROM, by_bytes).otherwise(text)
     locator = F.when(n >= WINDOW_LINES, F.concat(F.lit(f"L{HEAD + 1}-L"), (n - TAIL).cast("string"))).when(size >= BYTES_FROM, F.concat(F.lit(f"B{HEAD_BYTES}-B"), (size - TAIL_BYTES).cast("string")))
     return F.struct(view.alias("view"), locator.alias("locator"), token_estimate(text).alias("tokens_before"), token_estimate(view).alias("tokens_after"))

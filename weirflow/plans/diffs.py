@@ -22,6 +22,13 @@ def diff_family_savings(spark, sf_dir):
     return f.groupBy("source").agg(F.count("*").alias("families"), F.sum(F.col("n") - 1).alias("copies"), F.sum((F.col("n") - 1) * F.col("o")).alias("octets"))
 
 
+@R.add("diff_file_families", r"SELECT sha256(content) AS digest, count(*) AS members, arg_min(file_id, {'a': NOT regexp_matches(relpath, '\.(md|txt|csv|tsv)$'), 'b': -size, 'c': relpath, 'd': file_id}) AS canonical FROM scanned_files WHERE content <> '' AND relpath IS NOT NULL AND size IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def diff_file_families(spark, sf_dir):
+    """Families of equal files; text formats come first, then the largest, then by path."""
+    f = table(spark, sf_dir, "scanned_files").filter("relpath is not null and size is not null")
+    return D.canonical_families(f, "file_id", "content", [~F.col("relpath").rlike(r"\.(md|txt|csv|tsv)$"), -F.col("size"), F.col("relpath")])
+
+
 _B = "b AS (SELECT relpath AS path, min(sha256(content)) AS db FROM scanned_files WHERE content IS NOT NULL GROUP BY 1)"
 _A = "a AS (SELECT CASE WHEN file_id % 7 = 3 THEN relpath || '.moved' ELSE relpath END AS path, min(sha256(CASE WHEN file_id % 5 = 2 THEN coalesce(redacted, content || '#') ELSE content END)) AS da FROM scanned_files LEFT JOIN redact_results USING (file_id) WHERE content IS NOT NULL AND file_id % 11 <> 4 GROUP BY 1)"
 _SNAP = f"""WITH {_B}, {_A}, j AS (SELECT coalesce(b.path, a.path) AS path, db, da FROM b FULL JOIN a ON b.path = a.path), gone AS (SELECT path, db AS d FROM j WHERE da IS NULL), new AS (SELECT path, da AS d FROM j WHERE db IS NULL),

@@ -41,6 +41,12 @@ def scan_types(spark, sf_dir):
     return f.groupBy("type").agg(F.count("*").alias("files"), F.sum("size").alias("size"), F.count_if(F.coalesce("tracked", F.lit(False))).alias("tracked"))
 
 
+@R.add("scan_size_verdicts", "SELECT verdict, count(*) AS files, max(size) AS largest FROM (SELECT size, CASE WHEN e = 'pdf' AND size > 67108864 OR e IN ('xlsx', 'docx', 'pptx') AND size > 134217728 THEN 'too-large' WHEN coalesce(e, '') NOT IN ('pdf', 'xlsx', 'docx', 'pptx') AND size > 2000000 THEN 'large' ELSE 'ok' END AS verdict FROM (SELECT size, lower(regexp_extract(relpath, '\\.([A-Za-z0-9]+)$', 1)) AS e FROM scanned_files)) GROUP BY 1")
+def scan_size_verdicts(spark, sf_dir):
+    f = table(spark, sf_dir, "scanned_files").select("size", S.size_verdict(F.col("relpath"), F.col("size")).alias("verdict"))
+    return f.groupBy("verdict").agg(F.count("*").alias("files"), F.max("size").alias("largest"))
+
+
 @R.add("scan_text_facts", "WITH x AS (SELECT doc_id, text, len(regexp_extract_all(text, chr(13) || chr(10))) AS crlf, len(regexp_extract_all(text, chr(10))) AS lf FROM documents WHERE text IS NOT NULL) SELECT doc_id, starts_with(text, '﻿') AS bom, CASE WHEN lf = 0 THEN 'none' WHEN crlf = 0 THEN 'lf' WHEN crlf = lf THEN 'crlf' ELSE 'mixed' END AS eol, lf + 1 AS lines, len(regexp_extract_all(left(text, 8000), '[\\x01-\\x08\\x0b\\x0e-\\x1a\\x1c-\\x1f]')) > 0.3 * length(left(text, 8000)) AS is_binary FROM x")
 def scan_text_facts(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("text is not null").withColumn("f", S.text_facts(F.col("text"))).select("doc_id", "f.bom", "f.eol", "f.lines", F.col("f.binary").alias("is_binary"))

@@ -38,11 +38,11 @@ def ledger_kept(spark, sf_dir):
     return L.kept(table(spark, sf_dir, "events").select("event_type", "ts"), "ts", 30).groupBy("event_type").agg(F.count("*").alias("records"))
 
 
-@R.add("ledger_usage", "SELECT doc_id, list_last(regexp_extract_all(text, '\"tokens\": ([0-9]+)', 1))::BIGINT AS tokens, len(regexp_extract_all(text, '\"tokens\": ([0-9]+)', 1)) AS records FROM documents WHERE source = 'ledger-export' AND regexp_matches(text, '\"tokens\": [0-9]+')")
+@R.add("ledger_usage", "SELECT doc_id, list_last(regexp_extract_all(text, '\"tokens\": ([0-9]+)', 1))::BIGINT AS tokens, len(regexp_extract_all(text, '\"tokens\": ([0-9]+)', 1)) AS records FROM documents WHERE regexp_matches(text, '\"tokens\": [0-9]+')")
 def ledger_usage(spark, sf_dir):
-    """The last usage figure that an export states."""
+    """The last usage figure that a text states."""
     all_of = F.regexp_extract_all("text", F.lit('"tokens": ([0-9]+)'), F.lit(1))
-    d = table(spark, sf_dir, "documents").filter("source = 'ledger-export'").select("doc_id", all_of.alias("a")).filter(F.size("a") > 0)
+    d = table(spark, sf_dir, "documents").select("doc_id", all_of.alias("a")).filter(F.size("a") > 0)
     return d.select("doc_id", F.element_at("a", -1).cast("long").alias("tokens"), F.size("a").cast("long").alias("records"))
 
 

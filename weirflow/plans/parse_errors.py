@@ -81,3 +81,22 @@ def p1_reason_report(spark, sf_dir):
     f = P.failures(rows, layouts).select("row_id", "reason")
     per = f.join(rows.select("row_id", "layout_id", "export_id"), "row_id").groupBy("layout_id", "reason", "export_id").agg(F.count("*").alias("n"))
     return per.groupBy("layout_id", "reason").agg(F.sum("n").alias("records"), F.count("*").alias("exports"))
+
+
+_WIDTHS = f"""
+WITH once AS (SELECT DISTINCT export_id, layout_id, row_no, raw FROM delimited_rows),
+rec AS (SELECT export_id, row_no, delimiter AS d, regexp_replace(regexp_replace(coalesce(raw, ''), '^﻿', ''), '\\r$', '') AS t FROM once JOIN table_layout USING (layout_id)),
+w AS (SELECT export_id, row_no, CASE WHEN d = ',' AND regexp_full_match(t || d, '(?:{_COMMA},)*', 's') THEN len(regexp_extract_all(t || d, '({_COMMA}),', 1, 's'))
+  WHEN d <> ',' AND regexp_full_match(t || d, '(?:{_TAB}\t)*', 's') THEN len(regexp_extract_all(t || d, '({_TAB})\t', 1, 's')) ELSE 0 END AS width FROM rec)"""
+
+
+@R.add(
+    "scan_table_regions",
+    _WIDTHS
+    + """, per AS (SELECT export_id, width, count(*) AS n, min(row_no) AS first FROM w GROUP BY ALL),
+ m AS (SELECT *, row_number() OVER (PARTITION BY export_id ORDER BY CASE WHEN width > 0 THEN n ELSE 0 END DESC, width DESC) AS place, count(*) OVER (PARTITION BY export_id) AS widths FROM per)
+SELECT m.export_id, m.width, CASE WHEN m.width > 0 THEN m.n ELSE 0 END AS rows, (SELECT count(*) FROM w WHERE w.export_id = m.export_id AND w.row_no < m.first) AS preamble, m.widths = 1 AND m.width > 1 AS strict FROM m WHERE place = 1""",
+)
+def scan_table_regions(spark, sf_dir):
+    """Where the table of each export begins, and whether all of its rows fit it."""
+    return P.regions(table(spark, sf_dir, "delimited_rows"), table(spark, sf_dir, "table_layout"))

@@ -27,7 +27,7 @@ _KIND = (
 )
 _CATEGORY = "CASE " + " ".join(f"WHEN len(list_filter({_list(ls)}, lambda w: contains(k, w))) > 0 THEN '{kind}'" for kind, ls in T.CATEGORIES.items()) + " END"
 _HEADERS = rf"""WITH h AS (SELECT layout_id, unnest(range(len(column_names)))::INT AS col, unnest(column_names) AS label FROM table_layout),
- n AS (SELECT *, regexp_replace(lower(trim(nfc_normalize(label), ' ')), '[\s_.:/()（）-]+', '', 'g') AS k FROM h), c AS (SELECT layout_id, col, label, {_KIND} AS kind, {_CATEGORY} AS category FROM n)"""
+ n AS (SELECT *, regexp_replace(lower(trim(nfc_normalize(label), ' ')), '[\s_.:/()（）-]+', '', 'g') AS k FROM h), hc AS (SELECT layout_id, col, label, {_KIND} AS kind, {_CATEGORY} AS category FROM n)"""
 
 
 def _headers(spark, sf_dir):
@@ -35,7 +35,7 @@ def _headers(spark, sf_dir):
     return x.select("layout_id", "col", "label", T.identifier_kind(F.col("k")).alias("kind"), T.category(F.col("k")).alias("category"))
 
 
-@R.add("people_headers", _HEADERS + " SELECT layout_id, col, label, kind, category FROM c")
+@R.add("people_headers", _HEADERS + " SELECT layout_id, col, label, kind, category FROM hc")
 def people_headers(spark, sf_dir):
     """Kind of identifier and category that each column label of the layouts names."""
     return _headers(spark, sf_dir)
@@ -44,7 +44,7 @@ def people_headers(spark, sf_dir):
 @R.add(
     "people_classified",
     _HEADERS
-    + " SELECT layout_id, count(kind)::INT AS direct_identifier_columns, count(category)::INT AS performance_columns, CASE WHEN count(kind) > 0 AND count(category) > 0 THEN 'restricted' WHEN count(kind) > 0 OR count(category) > 0 THEN 'confidential' ELSE 'none' END AS sensitivity, coalesce(string_agg(kind, ',' ORDER BY col), '') AS types, coalesce((SELECT string_agg(DISTINCT category, ',' ORDER BY category) FROM c d WHERE d.layout_id = c.layout_id), '') AS categories FROM c GROUP BY layout_id",
+    + " SELECT layout_id, count(kind)::INT AS direct_identifier_columns, count(category)::INT AS performance_columns, CASE WHEN count(kind) > 0 AND count(category) > 0 THEN 'restricted' WHEN count(kind) > 0 OR count(category) > 0 THEN 'confidential' ELSE 'none' END AS sensitivity, coalesce(string_agg(kind, ',' ORDER BY col), '') AS types, coalesce((SELECT string_agg(DISTINCT category, ',' ORDER BY category) FROM hc d WHERE d.layout_id = hc.layout_id), '') AS categories FROM hc GROUP BY layout_id",
 )
 def people_classified(spark, sf_dir):
     """Every layout as a whole: how many of its columns identify persons, which categories go with them, how sensitive it is."""
@@ -160,3 +160,23 @@ def people_serialised(spark, sf_dir):
     good = d.filter(P.well_quoted(F.col("t"), F.col("delimiter")))
     out = T.serialised(P.cells(F.col("t"), F.col("delimiter")), F.col("delimiter"))
     return good.select("row_id", out.alias("record"), (P.cells(out, F.col("delimiter")) == P.cells(F.col("t"), F.col("delimiter"))).alias("round_trip"))
+
+
+_TABULAR = _CELLS + ", " + _HEADERS.removeprefix("WITH ")
+
+
+@R.add("detect_tabular_identifiers", _TABULAR + " SELECT s.layout_id, s.col::INT AS col, hc.kind, count(*) AS filled, count(DISTINCT s.value) AS distinct_values FROM s JOIN hc ON s.layout_id = hc.layout_id AND s.col = hc.col WHERE hc.kind IS NOT NULL AND s.shape <> 'empty' GROUP BY ALL")
+def detect_tabular_identifiers(spark, sf_dir):
+    """One finding for each column of a table that identifies persons: its kind, and how many cells hold something."""
+    kinds = _headers(spark, sf_dir).filter("kind is not null").select("layout_id", "col", "kind")
+    per = _cells(spark, sf_dir).filter(T.cell_shape(F.col("value")) != "empty").groupBy("layout_id", "col", "value").agg(F.count("*").alias("n"))
+    return per.join(kinds, ["layout_id", "col"]).groupBy("layout_id", "col", "kind").agg(F.sum("n").alias("filled"), F.count("*").alias("distinct_values"))
+
+
+_NUMBERS = "count(*) AS filled, count_if(regexp_full_match(v, '[0-9]{5,12}')) AS ids, count_if(regexp_full_match(v, '[0-9]{1,3}([.][0-9]+)?') AND try_cast(v AS DOUBLE) <= 100) AS scores"
+
+
+@R.add("detect_headerless_scores", _CELLS + f", f AS (SELECT layout_id, col, {_NUMBERS} FROM s WHERE v <> '' GROUP BY ALL) SELECT layout_id, count_if(ids >= 0.8 * filled) AS id_columns, count_if(scores >= 0.8 * filled) AS score_columns FROM f WHERE filled >= 10 GROUP BY 1 HAVING count_if(ids >= 0.8 * filled) > 0 AND count_if(scores >= 0.8 * filled) > 0")
+def detect_headerless_scores(spark, sf_dir):
+    """Tables that give persons away without any label: a column of long numbers beside one of scores."""
+    return T.id_score_tables(_cells(spark, sf_dir), "layout_id", "col", "value")

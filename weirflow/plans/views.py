@@ -24,13 +24,13 @@ def tokens_sql(t: str) -> str:
 _L = "l AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)"
 _ROWS = _L + ", ln AS (SELECT doc_id, source, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS line FROM l)"
 _WIN = f"""WITH {_L} SELECT doc_id, CASE WHEN len(ls) >= 120 THEN 'L61-L' || (len(ls) - 40) WHEN strlen(text) >= 6000 THEN 'B2400-B' || (strlen(text) - 800) END AS locator, {tokens_sql('text')} AS tokens_before,
-  CASE WHEN len(ls) >= 120 THEN sha256(array_to_string(ls[:60] || ['… ' || (len(ls) - 100) || ' lines withheld → retrieve L61-L' || (len(ls) - 40) || ' …'] || ls[-40:], chr(10))) WHEN strlen(text) >= 6000 THEN 'bytes' ELSE sha256(text) END AS view_hash FROM l"""
+  CASE WHEN len(ls) >= 120 THEN sha256(array_to_string(ls[:60] || ['… ' || (len(ls) - 100) || ' lines withheld → retrieve L61-L' || (len(ls) - 40) || ' …'] || ls[-40:], chr(10))) WHEN strlen(text) >= 6000 THEN sha256(left(text, list_max(list_filter(range(0, 2401), lambda k: strlen(left(text, k)) <= 2400))::INT) || chr(10) || '… ' || (strlen(text) - 3200) || ' bytes withheld → retrieve B2400-B' || (strlen(text) - 800) || ' …' || chr(10) || right(text, list_max(list_filter(range(0, 801), lambda k: strlen(right(text, k)) <= 800))::INT)) ELSE sha256(text) END AS view_hash FROM l"""
 
 
 @R.add("view_window", _WIN)
 def view_window(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).withColumn("w", V.window_view(F.col("text")))
-    return d.select("doc_id", "w.locator", "w.tokens_before", F.when(F.col("w.locator").startswith("B"), "bytes").otherwise(F.sha2("w.view", 256)).alias("view_hash"))
+    return d.select("doc_id", "w.locator", "w.tokens_before", F.sha2("w.view", 256).alias("view_hash"))
 
 
 _HITS = _L + f""", ok AS (SELECT doc_id FROM l WHERE len(list_filter(ls, lambda x: trim(x, ' ') <> '')) >= 12 AND len(list_filter(ls, lambda x: trim(x, ' ') <> '' AND regexp_matches(x, {_q(V.HIT)}))) >= 0.66 * len(list_filter(ls, lambda x: trim(x, ' ') <> ''))),
@@ -103,7 +103,7 @@ def view_test_omissions(spark, sf_dir):
     return V.ranges(V.test_dropped(_ci(spark, sf_dir), "doc_id", "text"), "doc_id")
 
 
-_REC = f"""{_L}, ok AS (SELECT doc_id, list_filter(ls, lambda x: trim(x, ' ') <> '') AS q FROM l WHERE source = 'ledger-export'), ok2 AS (SELECT doc_id FROM ok WHERE len(q) >= 5 AND len(list_filter(q[:50], lambda x: json_valid(x))) >= 0.7 * len(q[:50])),
+_REC = f"""{_L}, ok AS (SELECT doc_id, list_filter(ls, lambda x: trim(x, ' ') <> '') AS q FROM l), ok2 AS (SELECT doc_id FROM ok WHERE len(q) >= 5 AND len(list_filter(q[:50], lambda x: json_valid(x))) >= 0.7 * len(q[:50])),
  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r, count(*) OVER (PARTITION BY doc_id) AS last, regexp_matches(line, '(?i)"(error|exception|failed|failure)"\\s*:') AS err FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS line FROM l SEMI JOIN ok2 USING (doc_id)) WHERE trim(line, ' ') <> ''),
  e AS (SELECT *, r <= 3 OR r > last - 3 AS edge FROM r), i AS (SELECT *, sum(CASE WHEN err AND NOT edge THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS nth FROM e),
  dropped AS (SELECT doc_id, n, CASE WHEN NOT edge AND NOT (err AND nth <= 6) THEN 'ndjson records' END AS reason FROM i)"""
@@ -111,7 +111,7 @@ _REC = f"""{_L}, ok AS (SELECT doc_id, list_filter(ls, lambda x: trim(x, ' ') <>
 
 @R.add("view_record_omissions", f"WITH {_REC} {_RANGES}")
 def view_record_omissions(spark, sf_dir):
-    return V.ranges(V.record_dropped(table(spark, sf_dir, "documents").filter("source = 'ledger-export'"), "doc_id", "text"), "doc_id")
+    return V.ranges(V.record_dropped(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
 _SET = f"""{_L}, ok AS (SELECT doc_id, list_filter(ls, lambda x: trim(x, ' ') <> '' AND NOT regexp_matches(x, '^\\s*[#;]')) AS q FROM l), ok2 AS (SELECT doc_id FROM ok WHERE len(q) >= 8 AND len(list_filter(q, lambda x: regexp_matches(x, {_q(V.ASSIGN)}))) >= 0.8 * len(q)),
