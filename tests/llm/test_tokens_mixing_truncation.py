@@ -105,3 +105,22 @@ def test_long_lines_and_words_count(spark):
     cut = [(1000, body() + "\nWe saw the " + long_word[:44], "a")]
     df = spark.createDataFrame(whole + cut, "doc_id long, text string, source string")
     assert {x.doc_id for x in C.judged(df).collect() if x.cut} == {1000}
+
+
+def test_a_vocabulary_in_another_order_is_refused():
+    import json
+
+    from weirflow.llm.tokens import Encoder
+
+    vocab = {"a": 0, "b": 1, "ab": 3, "ba": 2}
+    with pytest.raises(ValueError, match="order"):
+        Encoder(json.dumps({"model": {"vocab": vocab, "merges": ["a b", "b a"]}}))
+
+
+def test_repeated_targets_are_read_alike(spark):
+    from weirflow.llm import mixing as M
+
+    docs = spark.createDataFrame([(i, "a", 10) for i in range(10)] + [(100 + i, "b", 10) for i in range(10)], "doc_id long, source string, n_tokens int")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("a", 0.9, 3), ("b", 0.5, 1), ("c", None, None)], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in M.shares(M.mixed(docs, targets), targets).collect()}
+    assert (got["a"].target_share, got["a"].tokens, got["b"].tokens, got["c"].tokens, got["c"].target_share) == (0.5, 100, 100, 0, 0.0)

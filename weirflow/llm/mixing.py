@@ -63,10 +63,16 @@ def fit(budget: int, lengths: dict[int, int], stretch: int = STRETCH) -> dict[in
     return {n: c for n, c in take.items() if c}
 
 
+def _targets(targets: DataFrame) -> DataFrame:
+    """source, cap, share: one row per source (the first by max_repeats, then by share), with the defined values for nulls and negatives."""
+    cap, share = F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))
+    return targets.groupBy("source").agg(F.min(F.struct(cap.alias("cap"), share.alias("share"))).alias("t")).select("source", "t.*")
+
+
 def sized(docs: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     """Documents that may be in the mixture: doc_id, source, n_tokens, share, cap, rank, bucket. docs: doc_id, source, n_tokens."""
-    t = targets.groupBy(F.col("source")).agg(F.min(F.struct(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("cap"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("share"))).alias("t"))
-    return docs.select("doc_id", "source", "n_tokens").filter("n_tokens > 0").join(t.select("source", "t.cap", "t.share").filter("cap > 0 and share > 0"), "source").withColumn("rank", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod("rank", F.lit(BUCKETS)).cast("int"))
+    t = _targets(targets).filter("cap > 0 and share > 0")
+    return docs.select("doc_id", "source", "n_tokens").filter("n_tokens > 0").join(t, "source").withColumn("rank", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod("rank", F.lit(BUCKETS)).cast("int"))
 
 
 def plan(parts: DataFrame, size: int | None = None) -> DataFrame:
@@ -105,7 +111,7 @@ def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     """Shares reached: source, target_share, documents, tokens, actual_share, most_copies; targets without documents with zeros."""
     per = mixture.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens").cast("long") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
     whole = per.agg(F.sum("tokens").alias("whole"))
-    t = targets.groupBy("source").agg(F.min_by("target_share", "max_repeats").alias("target_share"))
+    t = _targets(targets).select("source", F.col("share").alias("target_share"))
     joined = t.join(per, "source", "left").crossJoin(F.broadcast(whole))  # whole is one row
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return joined.select("source", "target_share", z("documents"), z("tokens"), F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"), z("most_copies"))

@@ -50,10 +50,14 @@ class Encoder:
         self.lengths = {i: len(t) for t, i in self.ids.items()}
         self.halves = {i: (i, i) for t, i in self.ids.items() if len(t) == 1}
         self.merged: dict[tuple[int, int], int] = {}
+        youngest = -1
         for pair in model["merges"]:
             a, b = map(latin, pair.split(" ") if isinstance(pair, str) else pair)
             whole = self.ids[a + b]
             if whole not in self.halves:
+                if whole < youngest:
+                    raise ValueError("this encoder takes ids for the ranks of merges, and the vocabulary's ids aren't in the order of its merges")
+                youngest = whole
                 self.halves[whole] = (self.ids[a], self.ids[b])
                 self.merged[self.ids[a], self.ids[b]] = whole
         self.automaton = ahocorasick.Automaton()
