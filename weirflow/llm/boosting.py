@@ -18,34 +18,45 @@ class BoostedTrees:
         cuts = [self._cuts(x[:, j]) for j in range(m)]
         width = self.bins  # at most bins - 1 cuts
         codes = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1).astype(np.int32)
-        places = codes + np.arange(m, dtype=np.int32) * width  # one histogram for all features
+        places = codes + np.arange(m, dtype=np.int32) * width
         open_bins = np.array([[b < len(c) for b in range(width)] for c in cuts])
         p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.base = float(np.log(p / (1 - p)))
         score = np.full(n, self.base)
         size = 2 ** (self.depth + 1) - 1
+
+        def sums(rows: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+            """Gradients, curvatures and rows in every bin of every feature: one histogram for all features."""
+            at_bins = places[rows].ravel()
+            return np.stack([np.bincount(at_bins, weights=None if w is None else np.repeat(w[rows], m), minlength=m * width) for w in (g, h, None)])
+
         for _ in range(self.trees):
             q = 1 / (1 + np.exp(-score))
             g, h = q - y, q * (1 - q)
             feature, limit, value = np.full(size, -1), np.zeros(size), np.zeros(size)
-            at = np.zeros(n, dtype=int)
+            members, bins = {0: np.arange(n)}, {}
             for node in range(size):
-                mine = np.flatnonzero(at == node)
-                if not len(mine):
+                mine = members.pop(node, None)
+                if mine is None:
                     continue
                 gs, hs = g[mine].sum(), h[mine].sum()
                 value[node] = -self.rate * gs / (hs + self.ridge)
                 if 2 * node + 2 >= size or len(mine) < 2 * self.least:
                     continue
-                at_bins = places[mine].ravel()
-                gl, hl, nl = (np.bincount(at_bins, weights=None if w is None else np.repeat(w[mine], m), minlength=m * width).reshape(m, width).cumsum(axis=1) for w in (g, h, None))
+                whole = bins.pop(node) if node in bins else sums(mine, g, h)
+                gl, hl, nl = whole.reshape(3, m, width).cumsum(axis=2)
                 gain = gl**2 / (hl + self.ridge) + (gs - gl) ** 2 / (hs - hl + self.ridge) - gs**2 / (hs + self.ridge)
                 gain[(nl < self.least) | (len(mine) - nl < self.least) | ~open_bins] = -1
                 j, b = divmod(int(gain.argmax()), width)
                 if gain[j, b] > 1e-6:
                     feature[node], limit[node] = j, cuts[j][b]
                     left = codes[mine, j] <= b
-                    at[mine] = np.where(left, 2 * node + 1, 2 * node + 2)
+                    parts = {2 * node + 1: mine[left], 2 * node + 2: mine[~left]}
+                    members |= parts
+                    small = min(parts, key=lambda k: len(parts[k]))
+                    if 2 * small + 2 < size:  # the larger part's sums are what the smaller one's leave
+                        bins[small] = sums(parts[small], g, h)
+                        bins[4 * node + 3 - small] = whole - bins[small]
             self.forest.append((feature, limit, value))
             score = score + self._apply(x, self.forest[-1])
         return self
