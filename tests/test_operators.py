@@ -111,6 +111,14 @@ def test_windows_and_omissions(spark):
     assert {r.k: r.view.split("\n")[0] for r in out} == {1: "a", 2: "x"}
 
 
+def test_choice_where_a_byte_window_cuts_a_character(spark, tmp_path):
+    from weirflow.plans.views import view_choice
+
+    texts = ["a" + "é" * 5000, "é" * 5000 + "a", "a" + "日" * 3000 + "bb", "ab" + "😀" * 2500 + "abc", "x" + "�" * 3000, "é" * 100]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.view for r in view_choice(spark, str(tmp_path)).collect()} == {i: "window" if i < 5 else "full" for i in range(6)}
+
+
 def test_json_outline(spark):
     o = one(spark, '{"a": [{"b": 1}, {"b": null}]}', views.json_outline)
     assert o.kind == "json" and "$.a[*].b:null|number" in o.fields

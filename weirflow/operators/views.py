@@ -25,16 +25,22 @@ RECORDS, INTERESTING, RECORD_LINES = 3, 6, 5
 SAVING = 0.15
 
 
+def _split_bytes(raw: Column, at: Column, step: int) -> Column:
+    """How many bytes from a cut before byte at (from 1) to the next edge of a character of UTF-8, backwards (step -1) or onwards (1): 0 where the cut is one, 3 at most. Decoding half a character would fail."""
+    inside = [raw.substr(at + step * k, F.lit(1)).between(F.lit(b"\x80"), F.lit(b"\xbf")) for k in range(3)]
+    return F.when(~inside[0], 0).when(~inside[1], 1).when(~inside[2], 2).otherwise(3)
+
+
 def window_view(text: Column) -> Column:
     """struct<view, locator, tokens_before, tokens_after>: head and tail of long texts, with a marker for what is between; by bytes where there are few lines."""
     ls = lines(text)
     n, size = F.size(ls), F.octet_length(text)
     mid = F.concat(F.lit("… "), (n - HEAD - TAIL).cast("string"), F.lit(" lines withheld → retrieve L61-L"), (n - TAIL).cast("string"), F.lit(" …"))
     by_lines = F.array_join(F.concat(F.slice(ls, 1, HEAD), F.array(mid), F.slice(ls, n - TAIL + 1, F.lit(TAIL))), "\n")
-    raw = F.encode(text, "UTF-8")
+    raw = text.cast("binary")
     cut = F.concat(F.lit("… "), (size - HEAD_BYTES - TAIL_BYTES).cast("string"), F.lit(f" bytes withheld → retrieve B{HEAD_BYTES}-B"), (size - TAIL_BYTES).cast("string"), F.lit(" …"))
-    head = F.regexp_replace(F.decode(F.substring(raw, 1, HEAD_BYTES), "UTF-8"), "�+\\z", "")  # a character that the cut went through is left out
-    tail = F.regexp_replace(F.decode(raw.substr(size - TAIL_BYTES + 1, F.lit(TAIL_BYTES)), "UTF-8"), "\\A�+", "")
+    head = raw.substr(F.lit(1), F.lit(HEAD_BYTES) - _split_bytes(raw, F.lit(HEAD_BYTES + 1), -1)).cast("string")
+    tail = raw.substr(size - TAIL_BYTES + 1 + _split_bytes(raw, size - TAIL_BYTES + 1, 1), F.lit(TAIL_BYTES)).cast("string")
     by_bytes = F.concat(head, F.lit("\n"), cut, F.lit("\n"), tail)
     view = F.when(n >= WINDOW_LINES, by_lines).when(size >= BYTES_FROM, by_bytes).otherwise(text)
     locator = F.when(n >= WINDOW_LINES, F.concat(F.lit(f"L{HEAD + 1}-L"), (n - TAIL).cast("string"))).when(size >= BYTES_FROM, F.concat(F.lit(f"B{HEAD_BYTES}-B"), (size - TAIL_BYTES).cast("string")))
