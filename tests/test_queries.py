@@ -47,6 +47,17 @@ def test_sql(spark, sf, duck, name):
     assert got == want
 
 
+def test_window_cut_within_characters(spark, tmp_path):
+    """The edges of a byte window fall on every byte of characters of one to four bytes; a U+FFFD beside the cut belongs to the text."""
+    texts = [f"{'a' * i}{c * (6400 // len(c.encode()))}{'b' * i}" for c in ("é", "日", "😀", "�", "日é") for i in range(5)]
+    spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES["view_window"](spark, str(tmp_path)).select("doc_id", "locator", "tokens_before", "view_hash").collect()
+    want = c.execute(f"SELECT doc_id, locator, tokens_before, view_hash FROM ({SQL['view_window']})").fetchall()
+    assert len(got) == len(texts) and sorted(map(tuple, got)) == sorted(want)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() >= 0
